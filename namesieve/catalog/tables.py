@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namesieve.operators.candidates import spread_scan
 from namesieve.functions.text import honorific_pattern
 from namesieve.params import HONORIFICS
 
@@ -24,7 +25,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def clauses(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, name_id, position, name): every clause of every text."""
-    parts = df.select("*", F.posexplode(F.split(F.col(text), CLAUSE)).alias("position", "name"))
+    parts = spread_scan(df).select(
+        "*", F.posexplode(F.split(F.col(text), CLAUSE)).alias("position", "name")
+    )
     return (
         parts.withColumn("name", F.trim("name"))
         .filter(F.col("name") != "")

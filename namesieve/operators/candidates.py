@@ -31,6 +31,25 @@ SMALLEST_QUERY_BLOCK = 64
 LONGEST_NAME = 2**31
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Fix the partition count ahead of work that is heavy for its size in bytes.
+
+    Adaptive execution merges partitions by bytes, which would put such work
+    into a few tasks; it leaves an explicit partition count alone.
+    """
+    return df.repartition(shuffle_partitions(df), *keys)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Shuffle a plain scan only if it has fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def normalised_rows(df: DataFrame, text: str, output: str = "form") -> DataFrame:
     """Add the normalised form and drop rows that have none.
 
@@ -42,7 +61,7 @@ def normalised_rows(df: DataFrame, text: str, output: str = "form") -> DataFrame
 
 def distinct_forms(rows: DataFrame, params: ScreeningParams, codes: bool = True) -> DataFrame:
     """One row per form with its search variants and their phonetic codes."""
-    forms = rows.select("form").distinct()
+    forms = spread(rows.select("form").distinct(), "form")
     forms = forms.withColumn("variants", name_variants(F.col("form"), params.honorifics))
     return forms.withColumn("codes", phonetic_codes("variants")) if codes else forms
 
@@ -93,7 +112,7 @@ def _length_bucket(length: Column, starts: list[int]) -> Column:
 
 def _block_grid(queries: DataFrame, names: DataFrame, name_block: int) -> DataFrame:
     """Per bucket: into how many slots each side is split. One row per bucket."""
-    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_partitions(queries)
     name_counts = names.groupBy("bucket").agg(F.count("*").alias("n_names"))
     query_counts = queries.groupBy("bucket").agg(F.count("*").alias("n_queries"))
     name_slots = F.ceil(F.col("n_names") / name_block)
@@ -130,7 +149,7 @@ def block_top(
     """
     # One row per bucket, and the number of buckets is fixed: safe to broadcast.
     grid = F.broadcast(_block_grid(queries, names, name_block))
-    partitions = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = 2 * shuffle_partitions(queries)
     group = ["bucket", "name_slot", "query_slot"]
     # A fixed partition count: groups are small in bytes but heavy in work, so
     # they must not be coalesced by size.
@@ -162,7 +181,9 @@ def block_top(
 
 def _top_frame(parts: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
     if not parts:
-        return pd.DataFrame({"query_key": [], "name_key": [], "first_id": [], "score": []})
+        text, ids = pd.Series([], dtype=object), pd.Series([], dtype=np.int64)
+        score = pd.Series([], dtype=np.float64)
+        return pd.DataFrame({"query_key": text, "name_key": text, "first_id": ids, "score": score})
     return pd.DataFrame(
         {
             "query_key": [p[0] for p in parts for _ in p[3]],
