@@ -1,8 +1,8 @@
 """Registered queries and the SQL they are compared with."""
 
-from namesieve.catalog import matching
+from namesieve.catalog import lists, matching
 
-_MODULES = (matching,)
+_MODULES = (matching, lists)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

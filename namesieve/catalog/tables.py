@@ -55,7 +55,7 @@ def norm_sql(column: str) -> str:
 
 
 def strip_sql(column: str) -> str:
-    return f"regexp_replace({column}, '{honorific_pattern(HONORIFICS)}', '\\1')"
+    return f"regexp_replace({column}, '{honorific_pattern(HONORIFICS)}', '')"
 
 
 def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:

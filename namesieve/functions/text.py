@@ -87,15 +87,20 @@ def normalise_name(name: Column) -> Column:
 
 
 def honorific_pattern(honorifics: Sequence[str] = HONORIFICS) -> str:
-    """Leading titles, longest phrase first, with at least one token left over."""
+    """Leading titles, longest phrase first.
+
+    Each is followed by a space, so the last token of a trimmed name is never
+    part of the match and no name is consumed whole.
+    """
     phrases = sorted(honorifics, key=lambda h: (-len(h.split()), h))
-    return "^(?:(?:" + "|".join(phrases) + r") )+(\S.*)$"
+    return "^(?:(?:" + "|".join(phrases) + ") )+"
 
 
 def strip_honorifics(normalised: Column, honorifics: Sequence[str] = HONORIFICS) -> Column:
     if not honorifics:
         return normalised
-    return F.regexp_replace(normalised, honorific_pattern(honorifics), "$1")
+    # Possessive, so that any number of titles needs no stack.
+    return F.regexp_replace(normalised, honorific_pattern(honorifics) + "+", "")
 
 
 def name_variants(normalised: Column, honorifics: Sequence[str] = HONORIFICS) -> Column:
