@@ -68,14 +68,18 @@ def chosen(seed: Column, salt: int, n: Column | int) -> Column:
     return F.pmod(seed + salt, count).cast("int")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def eligible_seeds(names: DataFrame, name: str = "primary_name") -> DataFrame:
     """Individuals with at least two tokens in plain Latin letters and digits."""
     normalised = names.filter(F.col("entity_type") == "individual").withColumn(
         "norm", F.explode(F.array(normalise_name(F.col(name))))
     )
-    return normalised.filter(F.col("norm").rlike("^[a-z0-9]+( [a-z0-9]+)+$")).withColumn(
-        "tokens", F.split("norm", " ")
-    )
+    latin = F.col("norm").rlike("^[a-z0-9 ]+$") & F.contains("norm", F.lit(" "))
+    return normalised.filter(latin).withColumn("tokens", F.split("norm", " "))
 
 
 def entity_forms(names: DataFrame) -> DataFrame:
@@ -88,7 +92,6 @@ def transliterated(
 ) -> Column:
     """One applicable spelling rule at its first occurrence."""
     table = F.array(*(F.struct(F.lit(s).alias("src"), F.lit(d).alias("dst")) for s, d in rules))
-    fitting = F.filter(table, lambda r: F.contains(norm, r["src"]))
 
     def splice(rule: Column) -> Column:
         at = F.instr(norm, rule["src"])
@@ -98,48 +101,59 @@ def transliterated(
             F.substring(norm, at + F.length(rule["src"]), F.length(norm)),
         )
 
-    picked = F.get(fitting, chosen(seed, 0, F.size(fitting)))
-    return F.transform(F.array(picked), splice)[0]
+    fitting = F.filter(table, lambda r: F.contains(norm, r["src"]))
+    return let(fitting, lambda rules: let(F.get(rules, chosen(seed, 0, F.size(rules))), splice))
 
 
 def _one_edit(text: Column, seed: Column, salt: int) -> Column:
-    positions = F.filter(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.substring(text, i, F.lit(1)).rlike("[a-z]"),
+    """One chosen edit at a chosen letter; null if there is no letter."""
+
+    def edit(at: Column) -> Column:
+        char, following = F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.lit(1))
+        before = F.substring(text, F.lit(1), at - 1)
+        after = F.substring(text, at + 1, F.length(text))
+        others = F.replace(F.lit(LETTERS), char, F.lit(""))
+        substitute = F.substring(others, chosen(seed, salt + 2, 25) + 1, F.lit(1))
+        inserted = F.substring(F.lit(LETTERS), chosen(seed, salt + 3, 26) + 1, F.lit(1))
+        kind = chosen(seed, salt + 1, 4)
+        return (
+            F.when(kind == 0, F.concat(before, substitute, after))
+            .when((kind == 1) & (F.length(text) > 4), F.concat(before, after))
+            .when(kind == 2, F.concat(before, inserted, char, after))
+            .when(
+                (kind == 3) & following.between("a", "z"),
+                F.concat(before, following, char, F.substring(text, at + 2, F.length(text))),
+            )
+            .when(at.isNotNull(), text)
+        )
+
+    letters = F.array_compact(
+        F.transform(F.split(text, ""), lambda c, i: F.when(c.between("a", "z"), i + 1))
     )
-    at = F.get(positions, chosen(seed, salt, F.size(positions)))
-    char, following = F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.lit(1))
-    before = F.substring(text, F.lit(1), at - 1)
-    after = F.substring(text, at + 1, F.length(text))
-    others = F.replace(F.lit(LETTERS), char, F.lit(""))
-    kind = chosen(seed, salt + 1, 4)
-    return (
-        F.when(kind == 0, F.concat(
-            before, F.substring(others, chosen(seed, salt + 2, 25) + 1, F.lit(1)), after))
-        .when((kind == 1) & (F.length(text) > 4), F.concat(before, after))
-        .when(kind == 2, F.concat(
-            before, F.substring(F.lit(LETTERS), chosen(seed, salt + 3, 26) + 1, F.lit(1)),
-            char, after))
-        .when((kind == 3) & following.rlike("[a-z]"), F.concat(
-            before, following, char, F.substring(text, at + 2, F.length(text))))
-        .otherwise(text)
-    )
+    at = let(letters, lambda places: F.get(places, chosen(seed, salt, F.size(places))))
+    return let(at, edit)
 
 
 def misspelt(norm: Column, seed: Column) -> Column:
     """One edit, or two for one row in three."""
-    once = F.transform(F.array(norm), lambda t: _one_edit(t, seed, 11))
-    twice = F.transform(once, lambda t: _one_edit(t, seed, 29))
-    return F.when(chosen(seed, 5, 3) == 2, twice[0]).otherwise(once[0])
+
+    def maybe_again(once: Column) -> Column:
+        return F.when(chosen(seed, 5, 3) == 2, _one_edit(once, seed, 29)).otherwise(once)
+
+    return let(_one_edit(norm, seed, 11), maybe_again)
 
 
 def reordered(tokens: Column, seed: Column) -> Column:
     """Tokens rotated by a chosen offset; null if that changes nothing."""
-    offset = chosen(seed, 3, F.size(tokens) - 1) + 1
-    rotated = F.concat(
-        F.slice(tokens, offset + 1, F.size(tokens)), F.slice(tokens, F.lit(1), offset)
-    )
-    return F.when(rotated != tokens, F.array_join(rotated, " "))
+
+    def rotate(words: Column) -> Column:
+        offset = chosen(seed, 3, F.size(words) - 1) + 1
+        rotated = F.concat(
+            F.slice(words, offset + 1, F.size(words)), F.slice(words, F.lit(1), offset)
+        )
+        return let(rotated, lambda r: F.when(r != words, F.array_join(r, " ")))
+
+    return let(tokens, rotate)
 
 
 def without_middle(tokens: Column) -> Column:
@@ -151,38 +165,48 @@ def without_middle(tokens: Column) -> Column:
 def nicknamed(tokens: Column, seed: Column, nicknames: dict[str, str] = NICKNAMES) -> Column:
     """One known token replaced by its short form."""
     table = F.create_map(*(F.lit(v) for pair in nicknames.items() for v in pair))
-    places = F.filter(
-        F.sequence(F.lit(0), F.size(tokens) - 1),
-        lambda i: F.get(tokens, i).isin(*nicknames),
-    )
-    place = F.get(places, chosen(seed, 2, F.size(places)))
-    swapped = F.transform(
-        tokens, lambda t, i: F.when(i == place, F.element_at(table, t)).otherwise(t)
-    )
-    return F.when(place.isNotNull(), F.array_join(swapped, " "))
+
+    def shorten(words: Column) -> Column:
+        def swap(place: Column) -> Column:
+            swapped = F.transform(
+                words, lambda w, i: F.when(i == place, F.element_at(table, w)).otherwise(w)
+            )
+            return F.when(place.isNotNull(), F.array_join(swapped, " "))
+
+        known = F.array_compact(
+            F.transform(words, lambda w, i: F.when(w.isin(*nicknames), i))
+        )
+        return let(
+            let(known, lambda places: F.get(places, chosen(seed, 2, F.size(places)))), swap
+        )
+
+    return let(tokens, shorten)
 
 
 def respaced(tokens: Column, seed: Column) -> Column:
     """Two neighbours merged or hyphenated, or one long token split."""
-    n = F.size(tokens)
-    i = chosen(seed, 1, n - 1)
     style = chosen(seed, 4, 3)
-    pair = F.concat(
-        F.get(tokens, i), F.when(style == 1, "-").otherwise(""), F.get(tokens, i + 1)
-    )
-    joined = F.concat(
-        F.slice(tokens, F.lit(1), i), F.array(pair), F.slice(tokens, i + 3, n)
-    )
-    at_i = F.get(tokens, i)
-    token = F.when(F.length(at_i) >= 6, at_i).otherwise(F.element_at(tokens, -1))
-    cut = chosen(seed, 6, F.length(token) - 4) + 2
-    halves = F.array(
-        F.substring(token, F.lit(1), cut), F.substring(token, cut + 1, F.length(token))
-    )
-    split = F.concat(F.filter(tokens, lambda t: t != token), halves)
-    return F.when(style < 2, F.array_join(joined, " ")).when(
-        F.length(token) >= 6, F.array_join(split, " ")
-    )
+
+    def change(words: Column) -> Column:
+        i = chosen(seed, 1, F.size(words) - 1)
+        left, right = F.get(words, i), F.get(words, i + 1)
+        pair = F.concat(left, F.when(style == 1, "-").otherwise(""), right)
+        rest = F.slice(words, i + 3, F.size(words))
+        joined = F.concat(F.slice(words, F.lit(1), i), F.array(pair), rest)
+
+        def split(token: Column) -> Column:
+            cut = chosen(seed, 6, F.length(token) - 4) + 2
+            halves = F.array(
+                F.substring(token, F.lit(1), cut),
+                F.substring(token, cut + 1, F.length(token)),
+            )
+            others = F.filter(words, lambda w: w != token)
+            return F.when(F.length(token) >= 6, F.array_join(F.concat(others, halves), " "))
+
+        long_one = F.when(F.length(left) >= 6, left).otherwise(F.element_at(words, -1))
+        return F.when(style < 2, F.array_join(joined, " ")).otherwise(let(long_one, split))
+
+    return let(tokens, change)
 
 
 PERTURBATIONS: dict[str, Callable[[Column, Column, Column], Column]] = {
@@ -305,9 +329,9 @@ def precision_recall(
         F.coalesce(F.col("truth_score") >= F.col("threshold"), F.lit(False)).alias("hit"),
     )
     counted = judged.groupBy("threshold").agg(
-        F.count_if("positive and hit").alias("tp"),
-        F.count_if("flagged and not (positive and hit)").alias("fp"),
-        F.count_if("positive and not hit").alias("fn"),
+        F.count_if(F.expr("positive and hit")).alias("tp"),
+        F.count_if(F.expr("flagged and not (positive and hit)")).alias("fp"),
+        F.count_if(F.expr("positive and not hit")).alias("fn"),
     )
 
     def ratio(part: Column, whole: Column) -> Column:
