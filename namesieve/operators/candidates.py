@@ -106,8 +106,10 @@ def _length_thresholds(cutoff: float) -> list[int]:
     return starts
 
 
-def _length_bucket(length: Column, starts: list[int]) -> Column:
-    return sum((F.when(length >= s, 1).otherwise(0) for s in starts), F.lit(0))
+def _length_bucket(key: str, starts: list[int]) -> Column:
+    """Number of thresholds the length reaches."""
+    steps = " ".join(f"when length({key}) < {s} then {i}" for i, s in enumerate(starts))
+    return F.expr(f"case {steps} else {len(starts)} end")
 
 
 def _block_grid(queries: DataFrame, names: DataFrame, name_block: int) -> DataFrame:
@@ -293,14 +295,14 @@ def fuzzy_rows(
     keyed = query_forms.select(
         F.col("form").alias("query_form"), sorted_tokens(F.col("form")).alias("query_key")
     )
-    own = _length_bucket(F.length("query_key"), starts)
+    own = _length_bucket("query_key", starts)
     queries = (
         keyed.select("query_key")
         .distinct()
         .select("query_key", F.explode(F.array(own - 1, own, own + 1)).alias("bucket"))
     )
     names = keys.select(
-        "name_key", "first_id", _length_bucket(F.length("name_key"), starts).alias("bucket")
+        "name_key", "first_id", _length_bucket("name_key", starts).alias("bucket")
     )
     kernel = _fuzzy_kernel(params.fuzzy_cutoff, params.fuzzy_limit)
     top = block_top(queries, names, kernel, params.fuzzy_limit, name_block)
