@@ -32,6 +32,7 @@ from namesieve.operators.candidates import (
     fuzzy_rows,
     normalised_rows,
     phonetic_pairs,
+    spread_scan,
     token_keys,
     vector_keys,
     vector_rows,
@@ -68,7 +69,7 @@ def rounded_sql(value: str) -> str:
 
 
 def normalise_names(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
+    docs = spread_scan(read(spark, sf, "documents"))
     return docs.select("doc_id", normalise_name(F.col("text")).alias("name_normalised"))
 
 

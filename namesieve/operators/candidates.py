@@ -25,7 +25,7 @@ from namesieve.functions.similarity import NameBlock
 from namesieve.functions.text import name_variants, normalise_name, sorted_tokens
 from namesieve.params import ScreeningParams
 
-NAME_BLOCK = 8192
+NAME_BLOCK = 32_768
 QUERY_BLOCK = 4096
 SMALLEST_QUERY_BLOCK = 64
 LONGEST_NAME = 2**31
