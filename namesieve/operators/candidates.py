@@ -114,7 +114,7 @@ def _length_bucket(key: str, starts: list[int]) -> Column:
 
 def _block_grid(queries: DataFrame, names: DataFrame, name_block: int) -> DataFrame:
     """Per bucket: into how many slots each side is split. One row per bucket."""
-    partitions = shuffle_partitions(queries)
+    partitions = 2 * shuffle_partitions(queries)
     name_counts = names.groupBy("bucket").agg(F.count("*").alias("n_names"))
     query_counts = queries.groupBy("bucket").agg(F.count("*").alias("n_queries"))
     name_slots = F.ceil(F.col("n_names") / name_block)
@@ -151,7 +151,7 @@ def block_top(
     """
     # One row per bucket, and the number of buckets is fixed: safe to broadcast.
     grid = F.broadcast(_block_grid(queries, names, name_block))
-    partitions = 2 * shuffle_partitions(queries)
+    partitions = 4 * shuffle_partitions(queries)
     group = ["bucket", "name_slot", "query_slot"]
     # A fixed partition count: groups are small in bytes but heavy in work, so
     # they must not be coalesced by size.

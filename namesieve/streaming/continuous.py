@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from namesieve.operators.index import NameIndex
+from namesieve.operators.index import NameIndex, work_folder, written
 from namesieve.operators.screening import (
     match_payload,
     screen,
@@ -42,16 +42,18 @@ def start_screening(
     params = params or ScreeningParams()
 
     def process(batch: DataFrame, number: int) -> None:
+        folder = work_folder(batch.sparkSession)
         valid, rejected = validate_requests(batch, params)
-        matches = screen(valid, index, params, **screening)
+        valid = written(valid, f"{folder}/requests")
+        matches = screen(valid, index, params, path=folder, **screening)
         payload = match_payload(matches, names, entities)
         tables = {"matches": payload, "rejected": rejected}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
-        written = batch.sparkSession.read.schema(payload.schema).parquet(
+        answers = batch.sparkSession.read.schema(payload.schema).parquet(
             f"{output}/matches/batch={number}"
         )
-        audit = screening_audit(valid, written)
+        audit = screening_audit(valid, answers)
         audit.write.mode("overwrite").parquet(f"{output}/audit/batch={number}")
 
     return (
