@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.catalog.tables import clauses, clauses_sql, read
+from namesieve.operators.candidates import spread_scan
 from namesieve.operators.index import work_folder
 from namesieve.operators.shaping import (
     ParsedList,
@@ -326,7 +327,7 @@ from supplier"""
 
 def sheet_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as sheet rows: references like '12b', grouped by their number."""
-    line = read(spark, sf, "lineitem")
+    line = spread_scan(read(spark, sf, "lineitem"))
     raw = line.select(
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("position"),
         F.concat(

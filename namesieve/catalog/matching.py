@@ -549,7 +549,8 @@ where l_returnflag in ('R', 'A') or l_linestatus = 'O' or l_discount >= 0.05 gro
 def screen_exact(spark: SparkSession, sf: str) -> DataFrame:
     valid, _ = validate_requests(benchmark_requests(spark, sf))
     folder = work_folder(spark)
-    index = build_index(document_names(spark, sf), document_entities(spark, sf), folder, P)
+    names, entities = document_names(spark, sf), document_entities(spark, sf)
+    index = build_index(names, entities, folder, P, fuzzy=False)
     matches = screen(valid, index, P, fuzzy=False, phonetic=False)
     return matches.select("query_id", "rank", "entity_id", "name_id", "exact")
 

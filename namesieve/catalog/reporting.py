@@ -137,7 +137,7 @@ def screen_stream(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark)
     params = ScreeningParams()
     names, entities = document_names(spark, sf), document_entities(spark, sf)
-    index = build_index(names, entities, f"{folder}/index", params)
+    index = build_index(names, entities, f"{folder}/index", params, fuzzy=False)
     written(benchmark_requests(spark, sf), f"{folder}/requests")
     query = start_screening(
         request_stream(spark, f"{folder}/requests"), index, names, entities,

@@ -26,6 +26,7 @@ from namesieve.functions.text import name_variants, normalise_name, sorted_token
 from namesieve.params import ScreeningParams
 
 NAME_BLOCK = 32_768
+VECTOR_BLOCK = 8192
 QUERY_BLOCK = 4096
 SMALLEST_QUERY_BLOCK = 64
 LONGEST_NAME = 2**31
@@ -314,7 +315,7 @@ def vector_rows(
     query_vectors: DataFrame,
     keys: DataFrame,
     params: ScreeningParams,
-    name_block: int = NAME_BLOCK,
+    name_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """Best name rows per query form by cosine of unit vectors.
 
