@@ -36,6 +36,12 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def kernel_partitions(df: DataFrame) -> int:
+    """Tasks for block kernels: several per core, whatever the shuffle setting."""
+    shuffle, cores = shuffle_partitions(df), df.sparkSession.sparkContext.defaultParallelism
+    return min(4 * shuffle, max(shuffle, 8 * cores))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Fix the partition count ahead of work that is heavy for its size in bytes.
 
@@ -115,7 +121,7 @@ def _length_bucket(key: str, starts: list[int]) -> Column:
 
 def _block_grid(queries: DataFrame, names: DataFrame, name_block: int) -> DataFrame:
     """Per bucket: into how many slots each side is split. One row per bucket."""
-    partitions = 2 * shuffle_partitions(queries)
+    partitions = kernel_partitions(queries) // 2
     name_counts = names.groupBy("bucket").agg(F.count("*").alias("n_names"))
     query_counts = queries.groupBy("bucket").agg(F.count("*").alias("n_queries"))
     name_slots = F.ceil(F.col("n_names") / name_block)
@@ -152,7 +158,7 @@ def block_top(
     """
     # One row per bucket, and the number of buckets is fixed: safe to broadcast.
     grid = F.broadcast(_block_grid(queries, names, name_block))
-    partitions = 4 * shuffle_partitions(queries)
+    partitions = kernel_partitions(queries)
     group = ["bucket", "name_slot", "query_slot"]
     # A fixed partition count: groups are small in bytes but heavy in work, so
     # they must not be coalesced by size.
