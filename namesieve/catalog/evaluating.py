@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.catalog.tables import ENTITY_TYPE_SQL, clauses, clauses_sql, norm_sql, read
+from namesieve.catalog.tables import clauses, clauses_sql, norm_sql, read
 from namesieve.functions.text import normalise_name
 from namesieve.operators.evaluation import (
     LETTERS,
@@ -326,6 +326,7 @@ from s group by 1"""
 
 QUERIES = {
     "eval_seeds": eval_seeds,
+    # Columns need a session, so these are built when called.
     "perturb_transliteration": lambda s, d: _perturbation(
         transliterated(F.col("norm"), F.col("seed"))
     )(s, d),

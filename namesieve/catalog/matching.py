@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.catalog.tables import (
-    ENTITY_TYPE_SQL,
     PART_CODES_SQL,
     PART_TYPE_SQL,
     benchmark_requests,

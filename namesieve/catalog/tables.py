@@ -90,12 +90,6 @@ def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ENTITY_TYPE_SQL = (
-    "case lang when 'en' then 'individual' when 'fr' then 'entity'"
-    " when 'de' then 'vessel' else 'aircraft' end"
-)
-
-
 def benchmark_requests(spark: SparkSession, sf_dir: str, table: str = "benchmark") -> DataFrame:
     """Requests with defaults: every clause of every benchmark item."""
     rows = clauses(read(spark, sf_dir, table), "item_id")

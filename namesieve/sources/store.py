@@ -102,6 +102,10 @@ def read_cases(spark: SparkSession, path: str, single_document: bool = False) ->
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file under a path."""
+    """(path, length, sha256) of every file under a path, one file per row.
+
+    For list files: a digest needs the whole file, so Spark's limit of 2 GB per
+    binary file applies.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("file_sha256"))

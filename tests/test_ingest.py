@@ -112,7 +112,6 @@ def test_ingest_is_idempotent(spark, parsers, files, tmp_path):
     assert ingest(store, parsers, paths, frozenset({"UN"}))
     assert {r.name_id for r in store.read("names").collect()} == ids
     log = store.read_log().collect()
-    first, second = log[:0], []
     first = [r for r in log if r.entities_inserted]
     second = [r for r in log if not r.entities_inserted]
     assert sorted(r.entities_inserted for r in first) == [3, 3, 3]

@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from listfiles import write_files
 from namesieve.catalog.matching import letter_frequencies as letters
