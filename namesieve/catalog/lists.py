@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from namesieve.catalog.tables import clauses, clauses_sql, read
 from namesieve.operators.candidates import spread_scan
-from namesieve.operators.index import work_folder
 from namesieve.operators.shaping import (
     ParsedList,
     birth_dates,
@@ -53,6 +52,7 @@ from namesieve.sources.store import (
     write_cases,
     write_vectors,
 )
+from namesieve.workspace import work_folder
 
 
 def _quoted(*fields: Column) -> Column:

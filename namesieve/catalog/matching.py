@@ -36,7 +36,7 @@ from namesieve.operators.candidates import (
     vector_keys,
     vector_rows,
 )
-from namesieve.operators.index import build_index, work_folder, written
+from namesieve.operators.index import build_index
 from namesieve.operators.normalising import unique_normalised
 from namesieve.operators.screening import (
     match_payload,
@@ -46,6 +46,7 @@ from namesieve.operators.screening import (
 )
 from namesieve.operators.vectors import encode_forms, lookup_scores, sync_plan, vector_key
 from namesieve.params import HONORIFICS, LAYERS, ScreeningParams
+from namesieve.workspace import work_folder, written
 
 P = ScreeningParams()
 

@@ -12,7 +12,7 @@ from namesieve.catalog.tables import (
     document_names,
     read,
 )
-from namesieve.operators.index import build_index, work_folder, written
+from namesieve.operators.index import build_index
 from namesieve.operators.reports import (
     entity_detail,
     layer_long,
@@ -22,6 +22,7 @@ from namesieve.operators.reports import (
 )
 from namesieve.params import ScreeningParams
 from namesieve.streaming.continuous import request_stream, start_screening
+from namesieve.workspace import work_folder, written
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:

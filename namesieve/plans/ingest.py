@@ -10,7 +10,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.operators.index import work_folder, written
 from namesieve.operators.shaping import (
     ENTITY_COLUMNS,
     ParsedList,
@@ -46,6 +45,7 @@ from namesieve.sources.party_csv import (
 )
 from namesieve.sources.sheet_rows import read_sheet
 from namesieve.sources.store import LOG_SCHEMA, ListStore, file_fingerprints
+from namesieve.workspace import work_folder, written
 
 
 def party_list(

@@ -19,7 +19,7 @@ from namesieve.operators.evaluation import (
     precision_recall,
     recall_by_perturbation,
 )
-from namesieve.operators.index import NameIndex, build_index, work_folder, written
+from namesieve.operators.index import NameIndex, build_index
 from namesieve.operators.screening import (
     match_payload,
     screen,
@@ -29,6 +29,7 @@ from namesieve.operators.screening import (
 from namesieve.operators.vectors import encode_forms
 from namesieve.params import ScreeningParams
 from namesieve.sources.store import ListStore
+from namesieve.workspace import work_folder, written
 
 Encoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
 

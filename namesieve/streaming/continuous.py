@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from namesieve.operators.index import NameIndex, work_folder, written
+from namesieve.operators.index import NameIndex
 from namesieve.operators.screening import (
     match_payload,
     screen,
@@ -13,6 +13,7 @@ from namesieve.operators.screening import (
     validate_requests,
 )
 from namesieve.params import ScreeningParams
+from namesieve.workspace import work_folder, written
 
 REQUEST_SCHEMA = (
     "query_id bigint, name string, threshold double, max_results int, entity_type string"
