@@ -53,7 +53,7 @@ class ToxicityParams:
     toxic: int = 2000
     clean: int = 3500
     vocabulary: int = 5000
-    min_docs: int = 6
+    min_docs: int = 4
     ratio: float = 3.0
     stems: tuple[int, ...] = (4, 5)
     rounds: int = 150

@@ -148,18 +148,22 @@ def judged(pages: DataFrame, rules: list[Rule], params: UrlParams | None = None,
         of = of.orderBy(F.xxhash64("page_id", "host", "path", F.lit(params.seed))).limit(params.per_verdict)
         drawn.append(of.select((F.col("matched.verdict") == "block").cast("double").alias("label"), *FEATURES))
     sample = written(drawn[0].unionByName(drawn[1]).coalesce(1), f"{folder}/sample")
-    labels = sorted(r["label"] for r in sample.select("label").distinct().collect())
-    if len(labels) < 2:
-        verdict = "block" if labels == [1.0] else "allow"
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        verdict = "block" if 1.0 in counts else "allow"
         return rows.select(
             *found, F.coalesce("matched.verdict", F.lit(verdict)).alias("verdict"),
             F.lit(None).cast("double").alias("score"),
         )
+    # Both verdicts weigh alike, however many URLs the rules decide each way.
+    weight = F.when(F.col("label") == 1.0, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0])
+    sample = sample.withColumn("weight", weight * (counts[0.0] + counts[1.0]))
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(
-        maxIter=params.trees, maxDepth=params.depth, seed=params.seed, labelCol="label", cacheNodeIds=False
+        maxIter=params.trees, maxDepth=params.depth, seed=params.seed, labelCol="label",
+        weightCol="weight", cacheNodeIds=False,
     )
-    model = trees.fit(assemble.transform(sample).select("label", "features"))
+    model = trees.fit(assemble.transform(sample).select("label", "weight", "features"))
     scored = model.transform(assemble.transform(rows))
     score = vector_to_array("probability").getItem(1)
     own = F.when(score >= params.threshold, "block").otherwise("allow")
