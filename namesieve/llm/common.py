@@ -26,25 +26,32 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def first_by_hash(df: DataFrame, key: list[str], n: int, total: int, seed: int) -> DataFrame:
+    """At most ``n`` of about ``total`` rows, in the order of a seeded hash of ``key``.
+
+    Rows far down that order are filtered out first, so that no more than about
+    ``2 * n`` reach the task that sorts them, however many tasks read the table.
+    """
+    draw = F.xxhash64(*key, F.lit(seed))
+    if total > 4 * n:
+        unit = F.shiftrightunsigned(draw, 33) / float(1 << 31)
+        df = df.filter(unit < 2.0 * n / total)
+    return df.orderBy(draw, *key).limit(n)
+
+
 def labelled_sample(labels: DataFrame, label: str, per_class: dict[int, int], seed: int) -> DataFrame:
     """(doc_id, label): at most ``per_class`` rows of each class that may be learnt from.
 
     The bound is a parameter of the models that use it, so the sample may be
-    broadcast. Rows are taken in the order of a seeded hash; ids that carry
-    both labels are left out, repeated rows count once.
+    broadcast. Ids that carry both labels are left out, repeated rows count once.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out())
-    one = usable.groupBy("doc_id").agg(
-        F.min(label).alias("label"), F.max(label).alias("other")
-    ).filter("label = other")
-    parts = [
-        one.filter(F.col("label") == value)
-        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-        .limit(bound)
-        .select("doc_id", "label")
-        for value, bound in per_class.items()
-    ]
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.unionByName(part)
+    one = usable.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other"))
+    one = one.filter("label = other").select("doc_id", "label")
+    totals = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
+    sample = None
+    for value, bound in per_class.items():
+        of_class = one.filter(F.col("label") == value)
+        part = first_by_hash(of_class, ["doc_id"], bound, totals.get(value, 0), seed)
+        sample = part if sample is None else sample.unionByName(part)
     return sample

@@ -28,6 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from namesieve.llm.common import first_by_hash
 from namesieve.llm.line_dedup import LOWER, UPPER
 from namesieve.workspace import work_folder, written
 
@@ -143,9 +144,12 @@ def judged(pages: DataFrame, rules: list[Rule], params: UrlParams | None = None,
     found = ["page_id", "host", "path", F.col("matched.rule").alias("rule")]
 
     drawn = []
+    decided = rows.filter("matched is not null").groupBy("matched.verdict").count()
+    totals = {r["verdict"]: r["count"] for r in decided.collect()}
     for verdict in ("allow", "block"):
         of = rows.filter(F.col("matched.verdict") == verdict)
-        of = of.orderBy(F.xxhash64("page_id", "host", "path", F.lit(params.seed))).limit(params.per_verdict)
+        key, total = ["page_id", "host", "path"], totals.get(verdict, 0)
+        of = first_by_hash(of, key, params.per_verdict, total, params.seed)
         drawn.append(of.select((F.col("matched.verdict") == "block").cast("double").alias("label"), *FEATURES))
     sample = written(drawn[0].unionByName(drawn[1]).coalesce(1), f"{folder}/sample")
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
