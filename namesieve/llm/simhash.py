@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.llm.common import whole
+from namesieve.llm.common import first_by_hash, whole
 from namesieve.llm.components import components
 from namesieve.workspace import work_folder, written
 
@@ -237,7 +237,7 @@ def near_pairs(distinct: DataFrame, params: SimHashParams) -> DataFrame:
     spark, total = distinct.sparkSession, distinct.count()
     depth = min(params.depth, max(0, int(np.ceil(np.log2(max(1, total / params.leaf))))))
     wanted = params.per_leaf << depth
-    drawn = distinct.select("fp").orderBy(F.xxhash64("fp", F.lit(params.seed))).limit(wanted)
+    drawn = first_by_hash(distinct.select("fp"), ["fp"], wanted, total, params.seed)
     sample = drawn.toArrow()["fp"].to_numpy().view(np.uint64)
     trees = spark.sparkContext.broadcast(
         [build_tree(_halves(sample, t), depth, total, params.block, params.seed + t) for t in (0, 1)]
