@@ -19,7 +19,7 @@ from namesieve.operators.shaping import (
     shape_entities,
     shape_individuals,
     shape_sheet,
-    side_lists,
+    shape_parties,
 )
 from namesieve.operators.sync import (
     ENTITY_KEY,
@@ -175,29 +175,23 @@ def csv_side_tables(spark: SparkSession, sf: str) -> DataFrame:
         read_optional_lines(spark, _write_lines(overflow_lines, f"{folder}/overflow"))
     ).rows
     missing = scan_overflow(read_optional_lines(spark, f"{folder}/no-such-file")).rows
-    full = merged_remarks(parties, overflow.unionByName(missing)).select("ent_num", "remarks")
-    alias_lists = side_lists(aliases, "ent_num", ["alt_type", "alt_name"], "aliases")
-    address_lists = side_lists(
-        addresses, "ent_num", ["address", "city_state_zip", "country"], "addresses"
+    parsed = shape_parties(parties, aliases, addresses, overflow.unionByName(missing))
+    remarks = merged_remarks(parties, overflow.unionByName(missing)).select("ent_num", "remarks")
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    alias, address = F.col("kind") == "aliases", F.col("kind") == "addresses"
+    known = F.concat_ws(
+        "/", mapped_type(field("alt_type"), ("aka", "fka", "nka"), "aka"), field("alt_name")
     )
-    known = F.array_sort(
-        F.transform(
-            F.filter("aliases", lambda a: a["alt_name"].isNotNull()),
-            lambda a: F.concat_ws("/", mapped_type(a["alt_type"], ("aka", "fka", "nka"), "aka"),
-                                  a["alt_name"]),
-        )
-    )
-    return (
-        full.join(alias_lists, "ent_num", "left")
-        .join(address_lists, "ent_num", "left")
-        .select(
-            "ent_num",
-            "remarks",
-            F.coalesce("aliases_count", F.lit(0)).alias("n_aliases"),
-            F.array_join(known, ",").alias("aliases"),
-            F.array_join(F.col("addresses.city_state_zip"), ",").alias("addresses"),
-        )
+    known = F.when(alias & field("alt_name").isNotNull(), known)
+    rows = parsed.raw_rows.groupBy(F.col("reference_number").alias("ent_num")).agg(
+        F.count_if(alias).alias("n_aliases"),
+        F.array_join(F.array_sort(F.collect_list(known)), ",").alias("aliases"),
+        F.array_join(F.collect_list(F.when(address, field("city_state_zip"))), ",").alias("addresses"),
     )
+    return remarks.join(rows, "ent_num", "left").select(
+        "ent_num", "remarks", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"),
+        F.when(F.col("n_aliases") > 0, F.col("aliases")).alias("aliases"), "addresses",
+    )
 
 
 CSV_SIDE_SQL = f"""

@@ -4,6 +4,8 @@ Every list yields two tables. Entities: (source_list, reference_number,
 primary_name, entity_type, nationality, date_of_birth, listed_date, raw_record,
 position). Names: (source_list, reference_number, name_type, name_original,
 alias_quality, position). Names are rows throughout and are never collected.
+Party files also yield raw rows: (source_list, reference_number, kind, position,
+record), the aliases and addresses of each party as read.
 """
 
 from __future__ import annotations
@@ -17,10 +19,6 @@ from namesieve.params import ENTITY_TYPES, NAME_TYPES
 from namesieve.sources.party_csv import PARTY_COLUMNS, stripped
 from namesieve.sources.sheet_rows import SHEET_COLUMNS
 
-# Side rows kept inside a raw record. A party with more of them keeps their
-# count and an order-independent digest instead.
-INLINE_LIMIT = 10_000
-
 ENTITY_COLUMNS = (
     "source_list", "reference_number", "primary_name", "entity_type", "nationality",
     "date_of_birth", "listed_date", "raw_record", "position",
@@ -31,49 +29,31 @@ ENTITY_COLUMNS = (
 class ParsedList:
     entities: DataFrame
     names: DataFrame
+    raw_rows: DataFrame | None = None
 
 
-def side_lists(rows: DataFrame, key: str, fields: list[str], output: str) -> DataFrame:
-    """Rows per key as an ordered list, for keys with at most INLINE_LIMIT of them.
-
-    Returns (key, <output>, <output>_count, <output>_digest); the list is null
-    for larger keys. Counting and digest combine before the shuffle.
-    """
+def side_summary(rows: DataFrame, key: str, fields: list[str], output: str) -> DataFrame:
+    """(key, <output>_count, <output>_digest): how many rows a key has, and a digest
+    of them that does not depend on their order. Both combine before the shuffle."""
     digest = F.sum(F.xxhash64(*fields).cast("decimal(38,0)")).cast("string")
-    sizes = rows.groupBy(key).agg(
+    return rows.groupBy(key).agg(
         F.count("*").alias(f"{output}_count"), digest.alias(f"{output}_digest")
     )
-    small = sizes.filter(F.col(f"{output}_count") <= INLINE_LIMIT).select(key)
-    item = F.struct("position", F.struct(*fields).alias("item"))
-    lists = (
-        rows.join(small, key, "left_semi")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(item))["item"].alias(output))
-    )
-    return sizes.join(lists, key, "left")
 
 
-def raw_json(fields: dict[str, Column], lists: tuple[str, ...] = ()) -> Column:
-    """Key-sorted JSON of a record and its side lists.
+def side_rows(rows: DataFrame, key: str, fields: list[str], kind: str, source_list: str) -> DataFrame:
+    """Each side row of a party as a raw row of its own, whole."""
+    return rows.select(
+        F.lit(source_list).alias("source_list"), F.col(key).alias("reference_number"),
+        F.lit(kind).alias("kind"), F.col("position").cast("string").alias("position"),
+        raw_json({f: F.col(f) for f in fields}).alias("record"),
+    )
 
-    Over-long lists appear as count and digest.
-    """
 
-    def as_json(columns: dict[str, Column]) -> Column:
-        ordered = [columns[k].alias(k) for k in sorted(columns)]
-        return F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"})
-
-    inline = fields | {k: F.coalesce(F.col(k), F.array()) for k in lists}
-    if not lists:
-        return as_json(fields)
-    summary = dict(fields)
-    for k in lists:
-        summary |= {f"{k}_count": F.col(f"{k}_count"), f"{k}_digest": F.col(f"{k}_digest")}
-    large = [F.coalesce(F.col(f"{k}_count"), F.lit(0)) > INLINE_LIMIT for k in lists]
-    any_large = large[0]
-    for condition in large[1:]:
-        any_large = any_large | condition
-    return F.when(any_large, as_json(summary)).otherwise(as_json(inline))
+def raw_json(fields: dict[str, Column]) -> Column:
+    """Key-sorted JSON of a record."""
+    ordered = [fields[k].alias(k) for k in sorted(fields)]
+    return F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"})
 
 
 def mapped_type(value: Column, allowed: tuple[str, ...], default: str) -> Column:
@@ -110,13 +90,19 @@ def shape_parties(
     source_list: str = "OFAC",
 ) -> ParsedList:
     full = merged_remarks(parties, overflow)
-    side = full.join(
-        side_lists(aliases, "ent_num", ["alt_type", "alt_name"], "aliases"), "ent_num", "left"
-    ).join(
-        side_lists(addresses, "ent_num", ["address", "city_state_zip", "country"], "addresses"),
-        "ent_num",
-        "left",
-    )
+    kinds = {
+        "aliases": (aliases, ["alt_type", "alt_name"]),
+        "addresses": (addresses, ["address", "city_state_zip", "country"]),
+    }
+    side, record = full, {c: F.col(c) for c in PARTY_COLUMNS}
+    raw_rows = None
+    for kind, (rows, fields) in kinds.items():
+        side = side.join(side_summary(rows, "ent_num", fields, kind), "ent_num", "left")
+        record[f"{kind}_count"] = F.coalesce(f"{kind}_count", F.lit(0))
+        record[f"{kind}_digest"] = F.coalesce(f"{kind}_digest", F.lit("0"))
+        known = rows.join(parties.select("ent_num"), "ent_num", "left_semi")
+        found = side_rows(known, "ent_num", fields, kind, source_list)
+        raw_rows = found if raw_rows is None else raw_rows.unionByName(found)
     entities = side.select(
         F.lit(source_list).alias("source_list"),
         F.col("ent_num").alias("reference_number"),
@@ -127,9 +113,7 @@ def shape_parties(
         first_nationality(F.col("remarks")).alias("nationality"),
         birth_dates(F.col("remarks")).alias("date_of_birth"),
         F.lit(None).cast("string").alias("listed_date"),
-        raw_json({c: F.col(c) for c in PARTY_COLUMNS}, ("aliases", "addresses")).alias(
-            "raw_record"
-        ),
+        raw_json(record).alias("raw_record"),
         "position",
     )
 
@@ -152,6 +136,7 @@ def shape_parties(
         names(parties, F.lit("primary"), "sdn_name", 0).unionByName(
             names(known, alias_kind, "alt_name", 1)
         ),
+        raw_rows,
     )
 
 
@@ -293,8 +278,9 @@ def shape_sheet(rows: DataFrame, source_list: str = "DFAT") -> ParsedList:
         F.min_by(head, F.struct(~is_primary, F.col("position"))).alias("head"),
         F.min("position").alias("position"),
     )
-    lists = side_lists(keyed, "reference_number", sorted(SHEET_COLUMNS), "rows")
-    entities = primary.join(lists, "reference_number").select(
+    fields = sorted(SHEET_COLUMNS)
+    summary = side_summary(keyed, "reference_number", fields, "rows")
+    entities = primary.join(summary, "reference_number").select(
         F.lit(source_list).alias("source_list"),
         "reference_number",
         F.col("head.name").alias("primary_name"),
@@ -302,7 +288,7 @@ def shape_sheet(rows: DataFrame, source_list: str = "DFAT") -> ParsedList:
         F.col("head.citizenship").alias("nationality"),
         F.col("head.date_of_birth").alias("date_of_birth"),
         F.col("head.control_date").alias("listed_date"),
-        raw_json({}, ("rows",)).alias("raw_record"),
+        raw_json({c: F.col(c) for c in ("rows_count", "rows_digest")}).alias("raw_record"),
         "position",
     )
     names = keyed.select(
@@ -313,7 +299,7 @@ def shape_sheet(rows: DataFrame, source_list: str = "DFAT") -> ParsedList:
         F.col("alias_strength").alias("alias_quality"),
         "position",
     )
-    return ParsedList(entities, names)
+    return ParsedList(entities, names, side_rows(keyed, "reference_number", fields, "rows", source_list))
 
 
 # ------------------------------------------------------------ domain checks

@@ -44,7 +44,7 @@ from namesieve.sources.party_csv import (
     scan_parties,
 )
 from namesieve.sources.sheet_rows import read_sheet
-from namesieve.sources.store import LOG_SCHEMA, ListStore, file_fingerprints
+from namesieve.sources.store import LOG_SCHEMA, ListStore, list_fingerprint
 from namesieve.workspace import work_folder, written
 
 
@@ -94,7 +94,14 @@ def upsert_list(store: ListStore, parsed: ParsedList) -> tuple[dict[str, DataFra
     entities = apply_upsert(old_entities, batch, now).withColumn("entity_id", entity_id())
     kept = without_orphans(next_names(old_names, names), entities)
     statistics = run_statistics(changes.filter(F.col("change") != "absent"), names)
-    return {"entities": entities, "names": kept}, statistics
+    tables = {"entities": entities, "names": kept}
+    raw_rows, old_rows = parsed.raw_rows, store.read("raw_rows")
+    if old_rows is not None:  # rows of parties that this batch does not hold stay
+        stay = old_rows.join(batch.select(*ENTITY_KEY), ENTITY_KEY, "left_anti")
+        raw_rows = stay if raw_rows is None else stay.unionByName(raw_rows)
+    if raw_rows is not None:
+        tables["raw_rows"] = raw_rows
+    return tables, statistics
 
 
 def ingest(
@@ -113,11 +120,8 @@ def ingest(
         started = time.monotonic()
         try:
             tables, statistics = upsert_list(store, parse())
+            digest = list_fingerprint(spark, paths[name]) if name in paths else None
             store.commit(tables)
-            digest = None
-            if name in paths:  # one row per file of one list: combined on the cluster
-                files = file_fingerprints(spark, paths[name])
-                digest = files.agg(F.max("file_sha256")).first()[0]
             outcome = RunOutcome(
                 "fallback_cache" if name in from_cache else "success",
                 paths.get(name),
@@ -128,7 +132,7 @@ def ingest(
             store.append_log(log_rows(statistics, outcome, F.current_timestamp()))
             succeeded = True
         except (PySparkException, Py4JJavaError, OSError, ValueError) as error:
-            row = (name, "failed", int((time.monotonic() - started) * 1000), str(error)[:2000])
+            row = (name, "failed", int((time.monotonic() - started) * 1000), str(error))
             failed = spark.createDataFrame(
                 [row], "source_list string, status string, duration_ms bigint, message string"
             )

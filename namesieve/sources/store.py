@@ -49,7 +49,7 @@ class ListStore:
         version = self.current_version()
         if version is None:
             return None
-        return self.spark.read.parquet(f"{self.root}/versions/{version}/{table}")
+        return read_or_none(self.spark, f"{self.root}/versions/{version}/{table}")
 
     def append_log(self, rows: DataFrame, log: str = "ingestion_log") -> None:
         rows.write.mode("append").parquet(f"{self.root}/{log}")
@@ -109,3 +109,11 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("file_sha256"))
+
+
+def list_fingerprint(spark: SparkSession, path: str) -> str | None:
+    """One digest of a list: its file's, or that of the sorted digests of all its files."""
+    files = file_fingerprints(spark, path)
+    single = F.when(F.count("*") == 1, F.max("file_sha256"))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("file_sha256")), "\n"), 256)
+    return files.agg(F.coalesce(single, F.when(F.count("*") > 0, joined))).first()[0]

@@ -36,31 +36,34 @@ def names_of(parsed: ParsedList, reference):
 def test_party_files(parsers):
     parsed = parsers["OFAC"]()
     found = by_reference(parsed)
-    assert set(found) == {"501", "502", "503"}
-    assert [found[k].entity_type for k in sorted(found)] == ["individual", "entity", "vessel"]
-    assert found["501"].date_of_birth == "3 Mar 1961"
-    assert found["501"].nationality == "Ruritania"
-    assert "more remarks" in found["502"].raw_record
-    assert "first remark" not in found["502"].raw_record
-    assert "PO Box 77" in found["502"].raw_record
-    assert names_of(parsed, "501") == {
-        ("primary", "ORLOVSKY, Pyotr Ilyich", None),
-        ("aka", "ORLOVSKY, Pyotr", None),
-        ("fka", "VETROV, Pyotr", None),
-    }
-    assert names_of(parsed, "502") == {
-        ("primary", "NORTHERN QUILL FZE", None), ("aka", "NQ TRADE", None),
+    assert {k: r.entity_type for k, r in found.items()} == {
+        "88": "aircraft", "12": "individual", "40": "entity", "13": "individual",
+    }
+    assert found["12"].date_of_birth == "1949; circa 1950"
+    assert [found[k].nationality for k in ("12", "13", "88")] == ["Sylvania", "Freedonia", None]
+    assert found["40"].date_of_birth == "2001"
+    assert "newer note" in found["40"].raw_record and "older note" not in found["40"].raw_record
+    assert '"addresses_count":2' in found["40"].raw_record
+    raw = {(r.reference_number, r.kind, r.record) for r in parsed.raw_rows.collect()}
+    assert ("12", "aliases", '{"alt_name":"Tammy Reyes","alt_type":"weak"}') in raw
+    assert sorted(k for k, kind, _ in raw if kind == "addresses") == ["40", "40"]
+    assert len(raw) == 5
+    assert names_of(parsed, "40") == {
+        ("primary", "Copper Lantern Bakery", None),
+        ("nka", "Tin Lantern Bakery", None), ("fka", "Iron Lantern Bakery", None),
     }
+    assert ("aka", "Tammy Reyes", None) in names_of(parsed, "12")
+    assert not names_of(parsed, "99")
 
 
 def test_rejected_rows_are_kept_aside(spark, files):
     scan = scan_parties(read_lines(spark, files["parties"]))
-    assert sorted(r.reason for r in scan.rejected.collect()) == ["short_row", "short_row"]
+    assert [r.reason for r in scan.rejected.collect()] == ["short_row"]
 
 
 def test_missing_optional_files(spark, files):
     parsed = party_list(spark, files["parties"], None, files["parties"] + ".none")
-    assert parsed.names.count() == 3
+    assert parsed.names.count() == 4 and parsed.raw_rows.count() == 0
 
 
 def test_latin1_file(spark, tmp_path):
@@ -75,32 +78,26 @@ def test_latin1_file(spark, tmp_path):
 def test_xml_list(parsers):
     parsed = parsers["UN"]()
     found = by_reference(parsed)
-    assert set(found) == {"QXi.1", "DATAID-72", "QXe.1"}
-    assert found["QXi.1"].primary_name == "YUSUF KARIM SAMPLEWALA"
-    assert found["QXi.1"].nationality == "Ruritania; Borduria"
-    assert found["QXi.1"].date_of_birth == "approximately 1971"
-    assert found["DATAID-72"].date_of_birth == "between 1958 and 1960"
-    assert found["QXe.1"].entity_type == "entity"
-    assert names_of(parsed, "QXi.1") == {
-        ("primary", "YUSUF KARIM SAMPLEWALA", None),
-        ("alias", "Yousef Karim", "Good"),
-        ("alias", "The Clerk", "Low"),
-    }
+    assert {k: r.primary_name for k, r in found.items()} == {
+        "DATAID-3001": "Harbour Choir", "P-4": "Odalys Brandt", "P-5": "Ulrika Vance Lindqvist",
+    }
+    assert found["P-4"].date_of_birth == "1987-11-30; between 1985 and ?"
+    assert found["P-4"].nationality == "Freedonia" and found["P-5"].nationality is None
+    assert found["DATAID-3001"].entity_type == "entity"
+    assert ("alias", "Ulla Lindqvist", "Good") in names_of(parsed, "P-5")
+    assert len(names_of(parsed, "DATAID-3001")) == 2
 
 
 def test_sheet(parsers):
     parsed = parsers["DFAT"]()
     found = by_reference(parsed)
-    assert set(found) == {"1", "2", "3"}
-    assert found["1"].primary_name == "Abdul Karim SPECIMEN"
-    assert found["1"].listed_date == "2010-05-04"
-    assert found["1"].date_of_birth == "1971"
-    assert found["3"].entity_type == "vessel"
-    assert names_of(parsed, "1") == {
-        ("primary", "Abdul Karim SPECIMEN", None),
-        ("alias", "Abd al-Karim Specimen", "Strong"),
-        ("original_script", "عبد الكريم", None),
-    }
+    assert {k: r.primary_name for k, r in found.items()} == {"60": "Teal Compass", "61": "Nikos the Pilot"}
+    assert found["60"].listed_date == "2019-06-07" and found["60"].entity_type == "vessel"
+    assert found["61"].listed_date == "not known" and found["61"].date_of_birth == "about 1930"
+    assert names_of(parsed, "61") == {
+        ("primary", "Nikos the Pilot", None), ("alias", "Pilot Nikos", "Weak"),
+        ("original_script", "Ο Πλοηγός", None),
+    }
 
 
 def test_ingest_is_idempotent(spark, parsers, files, tmp_path):
@@ -108,13 +105,14 @@ def test_ingest_is_idempotent(spark, parsers, files, tmp_path):
     paths = {"OFAC": files["parties"]}
     assert ingest(store, parsers, paths)
     ids = {r.name_id for r in store.read("names").collect()}
-    assert store.read("entities").count() == 9
+    assert store.read("entities").count() == 9 and store.read("raw_rows").count() == 9
     assert ingest(store, parsers, paths, frozenset({"UN"}))
     assert {r.name_id for r in store.read("names").collect()} == ids
     log = store.read_log().collect()
     first = [r for r in log if r.entities_inserted]
     second = [r for r in log if not r.entities_inserted]
-    assert sorted(r.entities_inserted for r in first) == [3, 3, 3]
+    assert sorted(r.entities_inserted for r in first) == [2, 3, 4]
+    assert store.read("raw_rows").count() == 9
     assert [(r.entities_inserted, r.entities_updated) for r in second] == [(0, 0)] * 3
     assert {r.status for r in second} == {"success", "fallback_cache"}
     digest = file_fingerprints(spark, files["parties"]).first().file_sha256
@@ -129,16 +127,19 @@ def test_changed_entity_keeps_first_seen(spark, parsers, files, tmp_path):
     before = {r.reference_number: r for r in store.read("entities").collect()}
     changed = tmp_path / "parties.csv"
     with open(files["parties"], encoding="utf-8") as source:
-        text = source.read().replace("3 Mar 1961", "4 Apr 1962")
-    changed.write_text("\n".join(x for x in text.split("\n") if not x.startswith("503")))
+        lines = [x.replace("Port Elm", "Port Ash") for x in source if "BRIGHT ANCHOR" not in x]
+    changed.write_text("".join(lines))
+    more = tmp_path / "addresses.csv"
+    more.write_text('12,3,"1 Hill","Port Elm","Sylvania"\n')  # 40 loses both of its addresses
     ingest(store, {"OFAC": lambda: party_list(spark, str(changed), files["aliases"],
-                                              files["addresses"], files["overflow"])})
+                                              str(more), files["overflow"])})
     after = {r.reference_number: r for r in store.read("entities").collect()}
-    assert set(after) == set(before)  # 503 vanished from the file but stays listed
-    assert after["501"].date_of_birth == "4 Apr 1962"
-    assert after["501"].first_seen_at == before["501"].first_seen_at
-    assert after["501"].last_updated_at > before["501"].last_updated_at
-    assert after["502"].last_updated_at == before["502"].last_updated_at
+    assert set(after) == set(before)  # 88 vanished from the file but stays listed
+    moved = {k for k in after if after[k].last_updated_at > before[k].last_updated_at}
+    assert moved == {"12", "13", "40"}
+    assert all(after[k].first_seen_at == before[k].first_seen_at for k in after)
+    kinds = [(r.reference_number, r.kind) for r in store.read("raw_rows").collect()]
+    assert kinds.count(("12", "addresses")) == 1 and ("40", "addresses") not in kinds
 
 
 def test_failed_list_is_logged_and_others_go_on(spark, parsers, tmp_path):

@@ -1,14 +1,15 @@
-import json
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
-from namesieve.operators import shaping
 from namesieve.operators.evaluation import exact_percentiles, nicknamed, transliterated
+from namesieve.operators.index import NameIndex
 from namesieve.operators.reports import entity_detail
-from namesieve.operators.shaping import raw_json, side_lists
+from namesieve.operators.shaping import side_rows, side_summary
 from namesieve.operators.sync import duplicate_keys, last_per_key, name_changes
+from namesieve.params import ScreeningParams
 
 
 def test_percentiles_equal_the_definition(spark):
@@ -25,22 +26,27 @@ def test_percentiles_equal_the_definition(spark):
         assert abs(r.p95 - statistics.quantiles(values, n=20)[18]) < 1e-12
 
 
-def test_large_side_lists_become_a_digest(spark, monkeypatch):
-    monkeypatch.setattr(shaping, "INLINE_LIMIT", 2)
-
-    def record(values):
+def test_side_rows_stay_rows_at_any_size(spark):
+    def summary(values):
         rows = spark.createDataFrame(
             [("a", i, v) for i, v in enumerate(values)], "k string, position int, v string"
         )
-        side = side_lists(rows, "k", ["v"], "items")
-        raw = side.select(raw_json({"id": F.col("k")}, ("items",))).first()[0]
-        return json.loads(raw)
+        kept = [r.record for r in side_rows(rows, "k", ["v"], "items", "L").collect()]
+        return side_summary(rows, "k", ["v"], "items").first(), kept
+
+    many = [f"v{i}" for i in range(12_000)]
+    first, kept = summary(many)
+    assert first.items_count == 12_000 and sorted(kept) == sorted(f'{{"v":"{v}"}}' for v in many)
+    assert summary(many[::-1])[0] == first
+    assert summary([*many[1:], "other"])[0] != first
+    assert summary(["x"])[1] == ['{"v":"x"}']
+
 
-    assert record(["x", "y"]) == {"id": "a", "items": [{"v": "x"}, {"v": "y"}]}
-    large = record(["x", "y", "z"])
-    assert large["items_count"] == 3 and "items" not in large
-    assert record(["z", "y", "x"]) == large
-    assert record(["x", "y", "w"]) != large
+def test_an_index_refuses_larger_bounds():
+    index = NameIndex(None, None, None, ScreeningParams(fuzzy_limit=8))
+    index.require(ScreeningParams(fuzzy_limit=8))
+    with pytest.raises(ValueError, match="fuzzy_limit"):
+        index.require(ScreeningParams(fuzzy_limit=9))
 
 
 def test_known_names_are_perturbed(spark):

@@ -184,52 +184,46 @@ def ask(spark, screener, *requests):
 
 
 def test_listed_names(spark, screener):
+    """One request per way of meeting a listed name, and the requests that meet none."""
     payload, audit, rejected = ask(
-        spark,
-        screener,
-        (1, "Orlovsky, Pyotr Ilyich"),
-        (2, "Pyotr Ilyich Orlovsky"),
-        (3, "Orlovsky Pyotr Ilyick", 70.0),
-        (4, "Haji Abdul Karim Specimen"),
-        (5, "عبد الكريم"),
-        (6, "Zebadiah Quirkwhistle"),
-        (7, "Abdool Kareem Spesimen", 70.0),
-        (8, "Specimen Star", 60.0, 10, "individual"),
-        (9, "  !!! "),
-        (10, "x" * 501),
-    )
-    first = {}
-    for row in payload:
-        first.setdefault(row.query_id, row)
-    assert first[1].score == 100.0 and "exact" in first[1].layers_fired
-    assert first[1].entity.source_list == "OFAC"
-    assert first[2].entity.reference_number == "501" and first[2].score >= 90
-    assert first[3].layers.fuzzy > 80
-    assert first[4].score == 100.0
-    assert first[5].score == 100.0 and first[5].matched_name_type == "original_script"
-    assert 6 not in first
-    assert first[7].layers.phonetic == 100.0
-    assert all(r.entity.entity_type == "individual" for r in payload if r.query_id == 8)
-    by_query = {r.query_id: r for r in audit}
-    assert by_query[6].match_count == 0 and by_query[6].top_score is None
-    assert by_query[6].results_json == "[]"
-    assert by_query[1].match_count >= 1 and by_query[1].top_score == 100.0
-    assert {r.query_id: r.reason for r in rejected} == {
-        9: "name_unmatchable", 10: "name_too_long",
+        spark, screener,
+        (11, "copper LANTERN bakery"),
+        (12, "Iron Lantern Bakery", 90.0),
+        (13, "Lindqvist, Ulrika Vance", 75.0),
+        (14, "Wendelin Ashgrove", 75.0),
+        (15, "ο πλοηγος", 99.0),
+        (16, "Teal Compass", 50.0, 5, "entity"),
+        (17, "lantern", 40.0, 1),
+        (18, "Grbavica Dubrovnik Tolstoyevsky", 95.0),
+        (19, "?!"),
+        (20, "q" * 600),
+    )
+    best = {r.query_id: r for r in reversed(payload)}  # rank 1 comes last and stays
+    reference = {q: r.entity.reference_number for q, r in best.items()}
+    assert {q: reference[q] for q in (11, 12, 13, 14, 15)} == {
+        11: "40", 12: "40", 13: "P-5", 14: "13", 15: "61",
     }
+    assert best[11].score == best[12].score == best[15].score == 100.0
+    assert (best[12].matched_name_type, best[15].matched_name_type) == ("fka", "original_script")
+    assert "exact" not in best[14].layers_fired and best[14].score < 100.0
+    assert {r.entity.entity_type for r in payload if r.query_id == 16} <= {"entity"}
+    assert sum(r.query_id == 17 for r in payload) <= 1
+    counts = {r.query_id: r.match_count for r in audit}
+    assert counts[18] == 0 and counts[11] >= 1 and set(counts) == set(range(11, 19))
+    assert {r.query_id: r.reason for r in rejected} == {19: "name_unmatchable", 20: "name_too_long"}
 
 
 def test_audit_log(spark, screener, lists):
-    requests = spark.createDataFrame([(1, "Silver Heron", None, None, None)], REQUEST_SCHEMA)
+    requests = spark.createDataFrame([(1, "Teal  COMPASS", None, None, None)], REQUEST_SCHEMA)
     screen_and_audit(screener, requests, lists)
     log = lists.read_log("screenings").collect()
-    assert len(log) == 1 and log[0].query_name_normalised == "silver heron"
+    assert len(log) == 1 and log[0].query_name_normalised == "teal compass"
 
 
 def test_encoder_layer(spark, lists):
     screener = Screener.open(lists.read("names"), lists.read("entities"), encoder=letters)
-    payload, _, _ = ask(spark, screener, (1, "noreh revlis", 60.0))
-    assert payload[0].entity.reference_number == "503"
+    payload, _, _ = ask(spark, screener, (1, "laet ssapmoc", 60.0))
+    assert payload[0].entity.reference_number == "60"
     assert payload[0].layers.embedding == 100.0 and "embedding" in payload[0].layers_fired
 
 
@@ -245,7 +239,7 @@ def test_evaluation_job(spark, lists, screener):
 
 def test_stream_replay_replaces_its_batch(spark, lists, screener, tmp_path):
     requests = spark.createDataFrame(
-        [(1, "Silver Heron", None, None, None), (2, "!!!", None, None, None)], REQUEST_SCHEMA
+        [(1, "Teal Compass", None, None, None), (2, "!!!", None, None, None)], REQUEST_SCHEMA
     )
     requests.write.parquet(str(tmp_path / "requests"))
     names, entities = lists.read("names"), lists.read("entities")
