@@ -133,7 +133,7 @@ def train(
         logit = np.bincount(owner, theta[column], len(rows)) + theta[-1]
         error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label
         error *= balance
-        grad = np.bincount(column, error[owner], len(theta))
+        grad = np.bincount(column, error[owner], len(theta)).astype(float)
         grad[-1] = error.sum()
         for at, sign, n in swaps:
             change = float(theta[at] @ sign)
