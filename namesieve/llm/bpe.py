@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from namesieve.llm.common import whole
 
 #: Words, and pieces, that a worker remembers.
-MEMORY = 500_000
+MEMORY = 400_000
 #: Longer pieces are encoded one by one, and longer words forgotten after their batch.
 LONG = 64
 #: Pieces encoded side by side, and characters of text taken up at once.
-SIDE_BY_SIDE, BATCH_CHARS = 8192, 4_000_000
+SIDE_BY_SIDE, BATCH_CHARS = 8192, 2_000_000
 NONE = 1 << 62
 
 
@@ -309,7 +309,10 @@ class Tokenizer:
         @F.arrow_udf("binary")
         def packed_ids(texts: pa.Array) -> pa.Array:
             encoder = _encoder(content.value, pattern)
-            return pa.array(encoder.encode(texts.to_pylist()), pa.binary())
+            packed: list[bytes] = []
+            for i in range(0, len(texts), 512):  # few texts at a time as Python strings
+                packed += encoder.encode(texts.slice(i, 512).to_pylist())
+            return pa.array(packed, pa.binary())
 
         return packed_ids(whole(text))
 
