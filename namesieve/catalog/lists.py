@@ -551,11 +551,12 @@ def upsert_apply(spark: SparkSession, sf: str) -> DataFrame:
     store = ListStore(spark, work_folder(spark))
     first = F.lit("2024-01-01 00:00:00").cast("timestamp")
     second = F.lit("2025-01-01 00:00:00").cast("timestamp")
-    store.commit(
-        {"entities": old.withColumn("first_seen_at", first).withColumn("last_updated_at", first)}
-    )
-    current = store.read("entities")
-    store.commit({"entities": apply_upsert(current, last_per_key(new, ENTITY_KEY), second)})
+    before = old.withColumn("first_seen_at", first).withColumn("last_updated_at", first)
+    store.commit({"entities": before}, [r[0] for r in before.select("source_list").distinct().collect()])
+    batch = last_per_key(new, ENTITY_KEY)
+    lists = [r[0] for r in batch.select("source_list").distinct().collect()]
+    current = store.read("entities", lists)
+    store.commit({"entities": apply_upsert(current, batch, second)}, lists)
     return store.read("entities").select(
         "source_list", "reference_number", "primary_name", "nationality", "raw_record",
         F.year("first_seen_at").alias("first_seen"), F.year("last_updated_at").alias("last_updated"),
@@ -597,17 +598,17 @@ def log_append(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs appended to the log; it is read back whole."""
     store = ListStore(spark, work_folder(spark))
     stats = _statistics(spark, sf)
-    store.append_log(log_rows(stats, RunOutcome("success", "orders"), F.current_timestamp()))
+    store.append_run(log_rows(stats, RunOutcome("success", "orders"), F.current_timestamp()))
     fallback = RunOutcome("fallback_cache", message="cached copy")
-    store.append_log(log_rows(stats, fallback, F.current_timestamp()))
+    store.append_run(log_rows(stats, fallback, F.current_timestamp()))
     return store.read_log().drop("run_at", "duration_ms", "file_sha256")
 
 
 LOG_SQL = f"""
 with s as ({STATISTICS_SQL}),
-o(status, source_url, message) as (values ('success', 'orders', null::varchar),
-                                          ('fallback_cache', null, 'cached copy'))
-select source_list, status, source_url, inserted as entities_inserted,
+o(log_id, status, source_url, message) as (values (1, 'success', 'orders', null::varchar),
+                                                  (2, 'fallback_cache', null, 'cached copy'))
+select log_id, source_list, status, source_url, inserted as entities_inserted,
        updated as entities_updated, names_total, message from s, o"""
 
 

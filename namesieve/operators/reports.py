@@ -11,8 +11,9 @@ from namesieve.params import LAYERS
 def list_summary(entities: DataFrame, names: DataFrame, log: DataFrame) -> DataFrame:
     """Entities, names and latest usable refresh per list.
 
-    ``log`` has (log_id, source_list, status, run_at). Names are counted per
-    entity before the join, so a large entity does not multiply rows.
+    ``log`` is the store's run log, of which log_id, source_list, status and
+    run_at are read. Names are counted per entity before the join, so a large
+    entity does not multiply rows.
     """
     per_entity = names.groupBy("entity_id").agg(F.count("*").alias("n"))
     counted = (

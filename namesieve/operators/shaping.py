@@ -3,7 +3,9 @@
 Every list yields two tables. Entities: (source_list, reference_number,
 primary_name, entity_type, nationality, date_of_birth, listed_date, raw_record,
 position). Names: (source_list, reference_number, name_type, name_original,
-alias_quality, position). Names are rows throughout and are never collected.
+alias_quality, position, entry). ``entry`` is the position of the entity row the name
+came with, null if it belongs to every row of that key. Names are rows throughout and
+are never collected.
 Party files also yield raw rows: (source_list, reference_number, kind, position,
 record), the aliases and addresses of each party as read.
 """
@@ -117,7 +119,9 @@ def shape_parties(
         "position",
     )
 
-    def names(rows: DataFrame, kind: Column, name: str, order: int) -> DataFrame:
+    no_entry = F.lit(None).cast(parties.schema["position"].dataType)
+
+    def names(rows: DataFrame, kind: Column, name: str, order: int, entry: Column) -> DataFrame:
         return rows.select(
             F.lit(source_list).alias("source_list"),
             F.col("ent_num").alias("reference_number"),
@@ -125,6 +129,7 @@ def shape_parties(
             F.col(name).alias("name_original"),
             F.lit(None).cast("string").alias("alias_quality"),
             F.struct(F.lit(order).alias("section"), "position").alias("position"),
+            entry.alias("entry"),
         )
 
     alias_kind = mapped_type(F.col("alt_type"), ("aka", "fka", "nka"), "aka")
@@ -133,8 +138,8 @@ def shape_parties(
     )
     return ParsedList(
         entities,
-        names(parties, F.lit("primary"), "sdn_name", 0).unionByName(
-            names(known, alias_kind, "alt_name", 1)
+        names(parties, F.lit("primary"), "sdn_name", 0, F.col("position")).unionByName(
+            names(known, alias_kind, "alt_name", 1, no_entry)
         ),
         raw_rows,
     )
@@ -187,6 +192,7 @@ def _xml_names(rows: DataFrame, aliases: str) -> DataFrame:
         F.col("primary_name").alias("name_original"),
         F.lit(None).cast("string").alias("alias_quality"),
         F.struct("position", F.lit(-1).alias("item")).alias("position"),
+        F.col("position").alias("entry"),
     )
     exploded = rows.select(
         *key, "position", F.posexplode(aliases).alias("item", "alias")
@@ -196,6 +202,7 @@ def _xml_names(rows: DataFrame, aliases: str) -> DataFrame:
         stripped(F.col("alias.ALIAS_NAME")).alias("name_original"),
         stripped(F.col("alias.QUALITY")).alias("alias_quality"),
         F.struct("position", "item").alias("position"),
+        F.col("position").alias("entry"),
     )
     return primary.unionByName(exploded.filter(F.col("name_original").isNotNull()))
 
@@ -211,7 +218,7 @@ def _shape_xml(rows: DataFrame, kind: str, source_list: str, columns: dict[str,
         columns["nationality"].alias("nationality"),
         columns["date_of_birth"].alias("date_of_birth"),
         stripped(F.col("LISTED_ON")).alias("listed_date"),
-        F.to_json(F.struct(*sorted(tags))).alias("raw_record"),
+        F.to_json(F.struct(*(F.col(f"`{t}`") for t in sorted(tags)))).alias("raw_record"),
         "position",
         aliases,
     ).filter(F.col("primary_name").isNotNull())
@@ -298,6 +305,7 @@ def shape_sheet(rows: DataFrame, source_list: str = "DFAT") -> ParsedList:
         F.col("name").alias("name_original"),
         F.col("alias_strength").alias("alias_quality"),
         "position",
+        F.lit(None).cast(keyed.schema["position"].dataType).alias("entry"),
     )
     return ParsedList(entities, names, side_rows(keyed, "reference_number", fields, "rows", source_list))
 

@@ -148,6 +148,13 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def colliding_ids(rows: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
+    """Ids that two different keys have; ``rows`` may repeat a key."""
+    key = F.struct(*keys)
+    ends = rows.groupBy(id_column).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    return ends.filter("first <> last")
+
+
 @dataclass(frozen=True)
 class RunOutcome:
     status: str

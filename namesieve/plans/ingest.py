@@ -22,13 +22,16 @@ from namesieve.operators.shaping import (
 from namesieve.operators.sync import (
     ENTITY_FIELDS,
     ENTITY_KEY,
+    NAME_KEY,
     RunOutcome,
     apply_upsert,
     classify,
+    colliding_ids,
     distinct_names,
     entity_id,
     last_per_key,
     log_rows,
+    name_id,
     next_names,
     run_statistics,
     without_orphans,
@@ -65,9 +68,11 @@ def xml_list(spark: SparkSession, path: str) -> ParsedList:
     groups = shape_entities(read_entities(spark, path))
     # Entities follow the individuals, as they do in the list.
     def ordered(first: DataFrame, second: DataFrame) -> DataFrame:
-        return first.withColumn("position", F.struct(F.lit(0).alias("section"), "position")).unionByName(
-            second.withColumn("position", F.struct(F.lit(1).alias("section"), "position"))
-        )
+        def of_section(rows: DataFrame, number: int) -> DataFrame:
+            places = [c for c in ("position", "entry") if c in rows.columns]
+            return rows.withColumns({c: F.struct(F.lit(number).alias("section"), F.col(c).alias("at")) for c in places})
+
+        return of_section(first, 0).unionByName(of_section(second, 1))
 
     return ParsedList(
         ordered(people.entities, groups.entities), ordered(people.names, groups.names)
@@ -78,15 +83,40 @@ def sheet_list(spark: SparkSession, path: str) -> ParsedList:
     return shape_sheet(read_sheet(spark, path))
 
 
-def upsert_list(store: ListStore, parsed: ParsedList) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(next tables, run statistics) for one parsed list against the stored ones."""
+def require_own_ids(store: ListStore, entities: DataFrame, names: DataFrame, lists: list[str]) -> None:
+    """Fail if an id would stand for two keys. Of other lists only ids and keys are read."""
+    for table, rows, column, keys in (
+        ("entities", entities.select(*ENTITY_KEY, entity_id().alias("entity_id")), "entity_id", ENTITY_KEY),
+        ("names", names.select(*NAME_KEY, name_id().alias("name_id")), "name_id", NAME_KEY),
+    ):
+        stored = store.read(table)
+        if stored is not None:
+            rows = rows.unionByName(stored.select(*rows.columns))
+        clash = colliding_ids(rows, column, keys).first()
+        if clash is not None:
+            raise ValueError(f"{column} {clash[0]} stands for {clash['first']} and {clash['last']}")
+
+
+def upsert_list(
+    store: ListStore, parsed: ParsedList
+) -> tuple[dict[str, DataFrame], DataFrame, list[str]]:
+    """(next tables, run statistics, names of the lists in it) for one parsed list.
+
+    Only the stored rows of these lists are read and written anew. Of rows that
+    repeat a key the last counts, and so do the names that came with it.
+    """
     folder = work_folder(store.spark)
-    batch = last_per_key(parsed.entities.select(*ENTITY_COLUMNS), ENTITY_KEY)
+    rows = parsed.entities.select(*ENTITY_COLUMNS, F.col("position").alias("last_entry"))
+    batch = last_per_key(rows, ENTITY_KEY)
     batch = written(require_domain(batch, "entity_type", ENTITY_TYPES), f"{folder}/entities")
-    names = distinct_names(require_domain(parsed.names, "name_type", NAME_TYPES))
-    names = written(names.join(batch.select(*ENTITY_KEY), ENTITY_KEY, "left_semi"), f"{folder}/names")
+    lists = sorted(r[0] for r in batch.select("source_list").distinct().collect())
+    names = require_domain(parsed.names, "name_type", NAME_TYPES)
+    names = names.join(batch.select(*ENTITY_KEY, "last_entry"), ENTITY_KEY)
+    names = names.filter(F.col("entry").isNull() | (F.col("entry") == F.col("last_entry")))
+    names = written(distinct_names(names), f"{folder}/names")
+    require_own_ids(store, batch, names, lists)
     now = F.current_timestamp()
-    old_entities, old_names = store.read("entities"), store.read("names")
+    old_entities, old_names = store.read("entities", lists), store.read("names", lists)
     if old_entities is None:
         empty = batch.limit(0).select(*ENTITY_KEY, *ENTITY_FIELDS)
         old_entities = empty.withColumns({"first_seen_at": now, "last_updated_at": now})
@@ -95,13 +125,13 @@ def upsert_list(store: ListStore, parsed: ParsedList) -> tuple[dict[str, DataFra
     kept = without_orphans(next_names(old_names, names), entities)
     statistics = run_statistics(changes.filter(F.col("change") != "absent"), names)
     tables = {"entities": entities, "names": kept}
-    raw_rows, old_rows = parsed.raw_rows, store.read("raw_rows")
+    raw_rows, old_rows = parsed.raw_rows, store.read("raw_rows", lists)
     if old_rows is not None:  # rows of parties that this batch does not hold stay
         stay = old_rows.join(batch.select(*ENTITY_KEY), ENTITY_KEY, "left_anti")
         raw_rows = stay if raw_rows is None else stay.unionByName(raw_rows)
     if raw_rows is not None:
         tables["raw_rows"] = raw_rows
-    return tables, statistics
+    return tables, statistics, lists
 
 
 def ingest(
@@ -119,9 +149,9 @@ def ingest(
     for name, parse in lists.items():
         started = time.monotonic()
         try:
-            tables, statistics = upsert_list(store, parse())
+            tables, statistics, in_batch = upsert_list(store, parse())
             digest = list_fingerprint(spark, paths[name]) if name in paths else None
-            store.commit(tables)
+            store.commit(tables, in_batch)
             outcome = RunOutcome(
                 "fallback_cache" if name in from_cache else "success",
                 paths.get(name),
@@ -129,7 +159,7 @@ def ingest(
                 int((time.monotonic() - started) * 1000),
                 "used cached copy" if name in from_cache else None,
             )
-            store.append_log(log_rows(statistics, outcome, F.current_timestamp()))
+            store.append_run(log_rows(statistics, outcome, F.current_timestamp()))
             succeeded = True
         except (PySparkException, Py4JJavaError, OSError, ValueError) as error:
             row = (name, "failed", int((time.monotonic() - started) * 1000), str(error))
@@ -137,7 +167,7 @@ def ingest(
                 [row], "source_list string, status string, duration_ms bigint, message string"
             )
             empty = spark.createDataFrame([], LOG_SCHEMA)
-            store.append_log(
+            store.append_run(
                 empty.unionByName(
                     failed.withColumn("run_at", F.current_timestamp()), allowMissingColumns=True
                 )

@@ -26,7 +26,7 @@ from namesieve.operators.screening import (
     screening_audit,
     validate_requests,
 )
-from namesieve.operators.vectors import encode_forms
+from namesieve.operators.vectors import encode_forms, sync_plan, vector_key
 from namesieve.params import ScreeningParams
 from namesieve.sources.store import ListStore
 from namesieve.workspace import work_folder, written
@@ -34,6 +34,44 @@ from namesieve.workspace import work_folder, written
 Encoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
+@dataclass(frozen=True)
+class VectorSync:
+    """Vectors (form, vector) of all names, and how many were kept, dropped and encoded."""
+
+    vectors: DataFrame
+    kept: int
+    dropped: int
+    encoded: int
+
+
+def sync_vectors(names: DataFrame, store: ListStore, model: str, encoder: Encoder) -> VectorSync:
+    """Bring the stored vectors of ``model`` in step with the names.
+
+    Only forms without a stored vector are encoded; vectors that no name needs
+    and those of other models are dropped. ``store`` is partitioned by model.
+    """
+    spark = names.sparkSession
+    folder = work_folder(spark)
+    form = normalise_name(F.col("name_original")).alias("form")
+    forms = names.select(form).filter("form <> ''").distinct().withColumn("vector_key", vector_key("form"))
+    forms = written(forms, f"{folder}/forms")
+    stored = store.read("vectors")
+    if stored is None:
+        stored = spark.createDataFrame([], "vector_key string, vector array<float>, model string")
+    keep, drop, missing = sync_plan(stored, forms, model)
+    fresh = encode_forms(missing, encoder).withColumn("model", F.lit(model))
+    columns = ["vector_key", "model", "vector"]
+    fresh = written(fresh.select(*columns), f"{folder}/fresh")
+    kept, dropped = keep.count(), drop.count()
+    if dropped or not fresh.isEmpty():
+        store.commit({"vectors": keep.select(*columns).unionByName(fresh)}, sorted({model, *store.versions()}))
+    current = store.read("vectors", [model])
+    if current is None:
+        current = stored.limit(0)
+    vectors = forms.join(current, "vector_key").select("form", "vector")
+    return VectorSync(vectors, kept, dropped, fresh.count())
+
+
 @dataclass(frozen=True)
 class Screener:
     """Opened lists with their search tables; screens any number of batches."""
@@ -48,11 +86,15 @@ class Screener:
     def open(
         names: DataFrame, entities: DataFrame, params: ScreeningParams | None = None,
         encoder: Encoder | None = None, path: str | None = None,
+        vector_store: ListStore | None = None, model: str = "default",
     ) -> Screener:
+        """``vector_store`` (partitioned by model) keeps vectors from one opening to the next."""
         params = params or ScreeningParams()
         path = path or work_folder(names.sparkSession)
         vectors = None
-        if encoder is not None:
+        if encoder is not None and vector_store is not None:
+            vectors = sync_vectors(names, vector_store, model, encoder).vectors
+        elif encoder is not None:
             form = normalise_name(F.col("name_original")).alias("form")
             forms = names.select(form).filter("form <> ''").distinct()
             vectors = written(encode_forms(forms, encoder), f"{path}/name_vectors")

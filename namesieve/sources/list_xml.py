@@ -1,9 +1,15 @@
-"""Consolidated list in XML: individuals and entities at any depth."""
+"""Consolidated list in XML: individuals and entities at any depth.
+
+Declared tags have fixed types. Every other tag of the file is found in a first
+pass and read as a list, so the record of an entry holds all of it and does not
+depend on what other entries hold.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 # Declared, so that text stays text and repeated tags are arrays.
 INDIVIDUAL_SCHEMA = """
@@ -22,8 +28,43 @@ ENTITY_ALIAS array<struct<QUALITY: string, ALIAS_NAME: string>>,
 ENTITY_ADDRESS array<struct<CITY: string, COUNTRY: string>>"""
 
 
+def _struct(fields: dict[str, DataType]) -> StructType:
+    """Tags by name, as records are compared as text."""
+    out = StructType()
+    for name in sorted(fields):
+        out.add(name, fields[name])
+    return out
+
+
+def _one(found: DataType) -> DataType:
+    return _one(found.elementType) if isinstance(found, ArrayType) else found
+
+
+def listed(found: DataType) -> DataType:
+    """The type of an undeclared tag: a list, of texts or of entries whose tags are lists."""
+    one = _one(found)
+    if isinstance(one, StructType):
+        return ArrayType(_struct({f.name: listed(f.dataType) for f in one}))
+    return ArrayType(StringType())
+
+
+def merged(declared: DataType, found: DataType) -> DataType:
+    """``declared`` with the undeclared tags of ``found``."""
+    if isinstance(declared, ArrayType):
+        return ArrayType(merged(declared.elementType, found))
+    one = _one(found)
+    if not (isinstance(declared, StructType) and isinstance(one, StructType)):
+        return declared
+    fields = {f.name: listed(f.dataType) for f in one}
+    for f in declared:
+        fields[f.name] = merged(f.dataType, one[f.name].dataType) if f.name in fields else f.dataType
+    return _struct(fields)
+
+
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    reader = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False)
+    found = reader.load(path).schema
+    rows = reader.schema(merged(StructType.fromDDL(schema), found)).load(path)
     return rows.withColumn("position", F.monotonically_increasing_id())
 
 

@@ -46,8 +46,15 @@ def sheet_rows(raw: DataFrame, position: str = "position") -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """An exported sheet with a header row, as CSV."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    """An exported sheet: Parquet, or CSV with a header row.
+
+    Cells of a CSV file may hold line breaks, so one task reads a file; a large
+    sheet comes as Parquet or as several files.
+    """
+    if path.rstrip("/").endswith(".parquet"):
+        raw = spark.read.parquet(path)
+    else:
+        raw = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
     return sheet_rows(
         raw.withColumn(
             "position",

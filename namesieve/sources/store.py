@@ -2,68 +2,88 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG_SCHEMA = """run_at timestamp, source_list string, status string, source_url string,
+LOG_SCHEMA = """log_id bigint, run_at timestamp, source_list string, status string, source_url string,
 file_sha256 string, entities_inserted bigint, entities_updated bigint, names_total bigint,
 duration_ms bigint, message string"""
 
 
 @dataclass(frozen=True)
 class ListStore:
-    """A folder with versions of a table and a log of which version is current.
+    """A folder with numbered versions of tables, and a log of the current one of every list.
 
-    A new version is written to its own folder first; only then one row is
-    appended to the version log. Readers never see a half-written version, and
-    a version being read is never overwritten.
+    A list is a value of ``partition_by``. A version holds some lists and is
+    written to its own folder first; only then its number is logged for each of
+    them, so other lists are neither read nor rewritten. Readers never see a
+    half-written version, and a version being read is never overwritten. Two
+    writers that meet take the same number, and the later one fails.
     """
 
     spark: SparkSession
     root: str
+    partition_by: str = "source_list"
 
-    def commit(self, tables: dict[str, DataFrame], partition_by: str = "source_list") -> str:
-        version = uuid.uuid4().hex
+    def versions(self) -> dict[str, int]:
+        """The current version of each list; there are as many rows as lists."""
+        log = read_or_none(self.spark, f"{self.root}/version_log")
+        if log is None:
+            return {}
+        return dict(log.groupBy("list").agg(F.max("version")).collect())
+
+    def commit(self, tables: dict[str, DataFrame], lists: list[str]) -> int:
+        """Make ``tables`` the current version of ``lists``; its number."""
+        version = max(self.versions().values(), default=0) + 1
         for name, df in tables.items():
-            writer = df.write.mode("errorifexists")
-            if partition_by in df.columns:
-                writer = writer.partitionBy(partition_by)
+            writer = df.write.mode("errorifexists").partitionBy(self.partition_by)
             writer.parquet(f"{self.root}/versions/{version}/{name}")
-        entry = self.spark.range(1).select(
-            F.lit(version).alias("version"), F.current_timestamp().alias("committed_at")
-        )
-        entry.write.mode("append").parquet(f"{self.root}/version_log")
+        entries = [(name, version) for name in lists]
+        rows = self.spark.createDataFrame(entries, "list string, version bigint")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/version_log")
         return version
 
-    def current_version(self) -> str | None:
-        log = read_or_none(self.spark, f"{self.root}/version_log")
-        if log is None:
-            return None
-        return log.agg(F.max_by("version", "committed_at")).first()[0]
-
-    def read(self, table: str) -> DataFrame | None:
-        version = self.current_version()
-        if version is None:
-            return None
-        return read_or_none(self.spark, f"{self.root}/versions/{version}/{table}")
+    def read(self, table: str, lists: list[str] | None = None) -> DataFrame | None:
+        """The current rows of all lists, or of some. Each scan prunes to its lists' folders."""
+        by_version: dict[int, list[str]] = {}
+        for name, version in self.versions().items():
+            if lists is None or name in lists:
+                by_version.setdefault(version, []).append(name)
+        found = None
+        for version, names in sorted(by_version.items()):
+            path = f"{self.root}/versions/{version}/{table}"
+            part = read_or_none(self.spark, path)
+            if part is not None:  # a list's name is text, also if it looks like a number
+                kinds = {self.partition_by: "string"}
+                schema = ", ".join(f"`{f.name}` {kinds.get(f.name, f.dataType.simpleString())}" for f in part.schema)
+                part = self.spark.read.schema(schema).parquet(path)
+                part = part.filter(F.col(self.partition_by).isin(names))
+                found = part if found is None else found.unionByName(part)
+        return found
 
     def append_log(self, rows: DataFrame, log: str = "ingestion_log") -> None:
         rows.write.mode("append").parquet(f"{self.root}/{log}")
 
+    def append_run(self, rows: DataFrame) -> int:
+        """Append the log rows of one run under the next ``log_id``."""
+        last = self.read_log().agg(F.max("log_id")).first()[0] or 0
+        self.append_log(rows.withColumn("log_id", F.lit(last + 1).cast("bigint")))
+        return last + 1
+
     def read_log(self, log: str = "ingestion_log", schema: str = LOG_SCHEMA) -> DataFrame:
         found = read_or_none(self.spark, f"{self.root}/{log}")
         return self.spark.createDataFrame([], schema) if found is None else found
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None where there is none or it was written without rows."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 

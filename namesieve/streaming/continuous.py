@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from namesieve.operators.index import NameIndex
@@ -12,6 +15,7 @@ from namesieve.operators.screening import (
     screening_audit,
     validate_requests,
 )
+from namesieve.operators.vectors import encode_forms
 from namesieve.params import ScreeningParams
 from namesieve.workspace import work_folder, written
 
@@ -20,8 +24,10 @@ REQUEST_SCHEMA = (
 )
 
 
-def request_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(REQUEST_SCHEMA).parquet(path)
+def request_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """Requests as files; a backlog is taken up ``files_per_batch`` files at a time."""
+    reader = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def start_screening(
@@ -32,13 +38,15 @@ def start_screening(
     output: str,
     checkpoint: str,
     params: ScreeningParams | None = None,
+    encoder: Callable | None = None,
     **screening,
 ) -> StreamingQuery:
     """Screen a stream of requests against the current lists until it is drained.
 
     Each micro-batch overwrites its own folder in ``matches``, ``audit`` and
     ``rejected``. A batch replayed after a failure has the same number and
-    therefore replaces what its first run left behind.
+    therefore replaces what its first run left behind. ``encoder`` gives the
+    queries their vectors, for an index that has them.
     """
     params = params or ScreeningParams()
 
@@ -46,7 +54,11 @@ def start_screening(
         folder = work_folder(batch.sparkSession)
         valid, rejected = validate_requests(batch, params)
         valid = written(valid, f"{folder}/requests")
-        matches = screen(valid, index, params, path=folder, **screening)
+        vectors = None
+        if encoder is not None:
+            forms = valid.select(F.col("query_form").alias("form")).distinct()
+            vectors = written(encode_forms(forms, encoder), f"{folder}/query_vectors")
+        matches = screen(valid, index, params, vectors, path=folder, **screening)
         payload = match_payload(matches, names, entities)
         tables = {"matches": payload, "rejected": rejected}
         for name, df in tables.items():
@@ -54,7 +66,7 @@ def start_screening(
         answers = batch.sparkSession.read.schema(payload.schema).parquet(
             f"{output}/matches/batch={number}"
         )
-        audit = screening_audit(valid, answers)
+        audit = screening_audit(valid, answers).withColumn("created_at", F.current_timestamp())
         audit.write.mode("overwrite").parquet(f"{output}/audit/batch={number}")
 
     return (

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from listfiles import write_files
 from namesieve.operators.shaping import ParsedList, domain_violations
+from namesieve.operators.reports import list_summary
+from namesieve.operators.sync import colliding_ids
 from namesieve.plans.ingest import ingest, party_list, sheet_list, xml_list
 from namesieve.sources.party_csv import read_lines, scan_aliases, scan_parties
 from namesieve.sources.store import ListStore, file_fingerprints, read_cases
@@ -170,3 +172,65 @@ def test_cases_in_one_document(spark, tmp_path):
     rows = read_cases(spark, str(path), single_document=True).orderBy("case_id").collect()
     assert [r.case_id for r in rows] == ["N001", "P001"]
     assert rows[0].truth is None and rows[1].truth.reference_number == "9"
+
+
+def xml_of(path, *entries):
+    path.write_text("<ALL>" + "".join(f"<ENTITY>{e}</ENTITY>" for e in entries) + "</ALL>")
+    return str(path)
+
+
+def test_undeclared_tags_are_part_of_the_record(spark, tmp_path):
+    store = ListStore(spark, str(tmp_path / "store"))
+    plain = "<FIRST_NAME>Reed Guild</FIRST_NAME><REFERENCE_NUMBER>7</REFERENCE_NUMBER>"
+    other = "<FIRST_NAME>Moss Guild</FIRST_NAME><REFERENCE_NUMBER>8</REFERENCE_NUMBER>"
+    more = "<SEAT><TOWN>Elmport</TOWN><TOWN>Ashport</TOWN></SEAT>"
+    for number, seat in enumerate(("", more, more.replace("Ash", "Oak")), 1):
+        # Entry 8 stays the same, whatever tags entry 7 gains.
+        path = xml_of(tmp_path / f"{number}.xml", plain + seat, other)
+        assert ingest(store, {"UN": lambda: xml_list(spark, path)})
+    log = store.read_log().orderBy("log_id").collect()
+    assert [(r.entities_inserted, r.entities_updated) for r in log] == [(2, 0), (0, 1), (0, 1)]
+    record = {r.reference_number: r.raw_record for r in store.read("entities").collect()}["7"]
+    assert '"SEAT":[{"TOWN":["Elmport","Oakport"]}]' in record
+
+
+def test_last_of_a_repeated_reference_brings_its_names(spark, tmp_path):
+    store = ListStore(spark, str(tmp_path / "store"))
+    one, two = (
+        f"<FIRST_NAME>{n}</FIRST_NAME><REFERENCE_NUMBER>5</REFERENCE_NUMBER>"
+        f"<ENTITY_ALIAS><ALIAS_NAME>{a}</ALIAS_NAME></ENTITY_ALIAS>"
+        for n, a in (("Early Bell", "Bell One"), ("Late Bell", "Bell Two"))
+    )
+    path = xml_of(tmp_path / "list.xml", one, two)
+    assert ingest(store, {"UN": lambda: xml_list(spark, path)})
+    assert {r.name_original for r in store.read("names").collect()} == {"Late Bell", "Bell Two"}
+
+
+def test_sheet_cells_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "sheet.csv"
+    path.write_text('Reference,Name,Address,Control Date\n70a,Low Gate,"1 Quay\n77,fake",2020-02-03\n')
+    parsed = sheet_list(spark, str(path))
+    (row,) = parsed.entities.collect()
+    assert (row.reference_number, row.primary_name, row.listed_date) == ("70", "Low Gate", "2020-02-03")
+    spark.read.options(header=True, multiLine=True).csv(str(path)).write.parquet(str(tmp_path / "sheet.parquet"))
+    (same,) = sheet_list(spark, str(tmp_path / "sheet.parquet")).entities.collect()
+    assert same.raw_record == row.raw_record
+
+
+def test_a_list_is_stored_by_itself(spark, parsers, tmp_path):
+    store = ListStore(spark, str(tmp_path / "store"))
+    ingest(store, {"UN": parsers["UN"], "DFAT": parsers["DFAT"]})
+    before = store.versions()
+    ingest(store, {"UN": parsers["UN"]})
+    assert store.versions() == {"DFAT": before["DFAT"], "UN": max(before.values()) + 1}
+    plan = store.read("entities", ["UN"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(source_list" in plan
+    summary = list_summary(store.read("entities"), store.read("names"), store.read_log()).collect()
+    assert [(r.source_list, r.entity_count, r.last_status) for r in summary] == [
+        ("DFAT", 2, "success"), ("UN", 3, "success"),
+    ]
+
+
+def test_colliding_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c")], "id long, key string")
+    assert [r.id for r in colliding_ids(rows, "id", ["key"]).collect()] == [2]

@@ -15,7 +15,7 @@ from namesieve.operators.index import build_index
 from namesieve.operators.screening import screen, validate_requests
 from namesieve.params import ScreeningParams
 from namesieve.plans.ingest import ingest, party_list, sheet_list, xml_list
-from namesieve.plans.screening import Screener, evaluate, screen_and_audit
+from namesieve.plans.screening import Screener, evaluate, screen_and_audit, sync_vectors
 from namesieve.sources.store import ListStore
 from namesieve.streaming.continuous import REQUEST_SCHEMA, request_stream, start_screening
 
@@ -227,6 +227,34 @@ def test_encoder_layer(spark, lists):
     assert payload[0].layers.embedding == 100.0 and "embedding" in payload[0].layers_fired
 
 
+def test_vectors_are_kept_in_step(spark, lists, tmp_path):
+    names, store = lists.read("names"), ListStore(spark, str(tmp_path / "vectors"), "model")
+    first = sync_vectors(names, store, "letters", letters)
+    again = sync_vectors(names, store, "letters", letters)
+    assert (first.kept, first.dropped) == (0, 0) and first.encoded == again.kept == again.vectors.count()
+    assert (again.dropped, again.encoded) == (0, 0) and store.versions() == {"letters": 1}
+    fewer = sync_vectors(names.filter("name_type = 'primary'"), store, "letters", letters)
+    assert fewer.encoded == 0 and fewer.dropped > 0 and fewer.kept + fewer.dropped == again.kept
+    other = sync_vectors(names, store, "more letters", letters)
+    assert other.kept == 0 and other.dropped == fewer.kept and other.encoded == first.encoded
+    assert {r.model for r in store.read("vectors").collect()} == {"more letters"}
+
+
+def test_stream_with_vectors(spark, lists, tmp_path):
+    names, entities = lists.read("names"), lists.read("entities")
+    store = ListStore(spark, str(tmp_path / "vectors"), "model")
+    screener = Screener.open(names, entities, encoder=letters, vector_store=store)
+    rows = [(1, "laet ssapmoc", 60.0, None, None)]
+    spark.createDataFrame(rows, REQUEST_SCHEMA).write.parquet(str(tmp_path / "requests"))
+    start_screening(
+        request_stream(spark, str(tmp_path / "requests")), screener.index, names, entities,
+        str(tmp_path / "out"), str(tmp_path / "checkpoint"), encoder=letters,
+    ).awaitTermination()
+    best = spark.read.parquet(str(tmp_path / "out" / "matches")).orderBy("rank").first()
+    assert best.entity.reference_number == "60" and best.layers.embedding == 100.0
+    assert spark.read.parquet(str(tmp_path / "out" / "audit")).first().created_at is not None
+
+
 def test_evaluation_job(spark, lists, screener):
     cases, by_threshold, by_kind = evaluate(screener)
     kinds = {r.perturbation for r in cases.select("perturbation").collect()}
