@@ -32,6 +32,7 @@ from namesieve.operators.evaluation import (
     transliterated,
     without_middle,
 )
+from namesieve.workspace import work_folder, written
 
 # Short forms of common words of the test documents and product names.
 SHORT_FORMS = {"the": "th", "and": "an", "that": "tht", "with": "w", "small": "sm", "red": "rd"}
@@ -172,7 +173,7 @@ def eval_cases(spark: SparkSession, sf: str) -> DataFrame:
     forms = entity_forms(
         _listed(spark, sf).withColumn("name_normalised", normalise_name(F.col("primary_name")))
     )
-    cases = evaluation_cases(_seeds(spark, sf), forms)
+    cases = written(evaluation_cases(_seeds(spark, sf), forms), f"{work_folder(spark)}/cases")
     listed = cases.select(
         "case_id", "query", "perturbation", "original_name", "truth.source_list",
         "truth.reference_number",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesieve.functions.text import normalise_name
+from namesieve.operators.candidates import top_rows
 
 # Cases wanted per perturbation.
 QUOTAS = {
@@ -219,11 +220,19 @@ PERTURBATIONS: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
-def perturbed(seeds: DataFrame, kind: str, seed: str = "seed") -> DataFrame:
-    """Seeds to which a perturbation applies, with the perturbed ``query``."""
-    query = PERTURBATIONS[kind](F.col("norm"), F.col("tokens"), F.col(seed))
-    some = F.filter(F.array(query), lambda q: q.isNotNull() & (q != ""))
-    return seeds.withColumn("perturbation", F.lit(kind)).withColumn("query", F.explode(some))
+def perturbed(seeds: DataFrame, kinds: Sequence[str], seed: str = "seed") -> DataFrame:
+    """Seeds once per perturbation that applies to them, with (kind, perturbation, query)."""
+    made = F.array(
+        *(
+            F.struct(
+                F.lit(number).alias("kind"),
+                F.lit(kind).alias("perturbation"),
+                PERTURBATIONS[kind](F.col("norm"), F.col("tokens"), F.col(seed)).alias("query"),
+            )
+            for number, kind in enumerate(kinds)
+        )
+    )
+    return seeds.select("*", F.inline(made)).filter("query <> ''")
 
 
 def evaluation_cases(
@@ -241,19 +250,15 @@ def evaluation_cases(
     quotas = quotas or QUOTAS
     key = ["source_list", "reference_number"]
     order = [F.col("_order"), F.col("reference_number"), F.col("source_list")]
-    found = None
-    for number, kind in enumerate(kinds):
-        cases = perturbed(seeds, kind, seed).withColumn(
-            "name_normalised", normalise_name(F.col("query"))
-        )
-        fresh = cases.join(forms, [*key, "name_normalised"], "left_anti")
-        ordered = fresh.withColumn("_order", F.md5(F.concat_ws("/", *key)))
-        kept = F.row_number().over(Window.partitionBy("perturbation").orderBy(*order))
-        limited = ordered.withColumn("_n", kept).filter(F.col("_n") <= quotas[kind])
-        part = limited.withColumn("_kind", F.lit(number))
-        found = part if found is None else found.unionByName(part)
+    cases = perturbed(seeds, kinds, seed).withColumn("name_normalised", normalise_name(F.col("query")))
+    fresh = cases.join(forms, [*key, "name_normalised"], "left_anti")
+    ordered = fresh.withColumn("_order", F.md5(F.concat_ws("/", *key)))
+    limits = [quotas[kind] for kind in kinds]
+    quota = F.element_at(F.array(*(F.lit(n) for n in limits)), F.col("kind") + 1)
+    # The constant limit is what lets every task cut its own rows before the shuffle.
+    found = top_rows(ordered, ["kind"], order, max(limits)).filter(F.col("_rank") <= quota)
     # At most the sum of the quotas is left, so one ordered window numbers them.
-    numbered = F.row_number().over(Window.orderBy("_kind", "_n"))
+    numbered = F.row_number().over(Window.orderBy("kind", "_rank"))
     return found.select(
         F.format_string("P%03d", numbered).alias("case_id"),
         "query",
@@ -356,15 +361,24 @@ def recall_by_perturbation(outcomes: DataFrame, truth: str, threshold: float = 7
     )
 
 
+#: Ranges of a group: a quantile sketch of accuracy 10,000 can tell about half as many apart.
+RANGE_ROWS = 200_000
+LEAST_RANGES = 16
+MOST_RANGES = 5_000
+
+
 def exact_percentiles(
-    rows: DataFrame, group: str, value: str, buckets: int = 64
+    rows: DataFrame, group: str, value: str, buckets: int | None = None
 ) -> DataFrame:
     """Median and exclusive 95th percentile per group, exact at any group size.
 
     Equal values are counted first. Approximate quantiles then only cut each
     group into ranges; the exact rank is the rank within a range plus the size
-    of the ranges before it, so no task sees a whole group.
+    of the ranges before it, so no task sees a whole group. Without ``buckets``
+    there are as many ranges as keep about ``RANGE_ROWS`` rows in one.
     """
+    if buckets is None:
+        buckets = min(max(LEAST_RANGES, -(-rows.count() // RANGE_ROWS)), MOST_RANGES)
     counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(group).agg(F.percentile_approx(value, cuts, 10_000).alias("bounds"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from listfiles import write_files
 from namesieve.catalog.matching import letter_frequencies as letters
@@ -153,6 +154,43 @@ def test_small_name_blocks_change_nothing(spark, world):
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
 
 
+@pytest.mark.parametrize("limit", [4, 64])
+def test_vector_cells_lose_nothing(spark, tmp_path, limit):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 12))
+    names = np.concatenate([c + 0.2 * rng.normal(size=(40, 12)) for c in centres] + [np.zeros((2, 12))])
+    names[7] = names[8]  # equal vectors: the smaller id goes first
+    lengths = np.linalg.norm(names, axis=1)
+    names[:-2] /= lengths[:-2, None]
+    asked = [*names[::11], *rng.normal(size=(6, 12)), np.zeros(12)]
+    asked = [a / max(np.linalg.norm(a), 1e-9) for a in asked]
+
+    def frame(rows, prefix):
+        return spark.createDataFrame(
+            [(f"{prefix}{i}", i, [float(x) for x in v]) for i, v in enumerate(rows)],
+            "form string, name_id bigint, vector array<double>",
+        )
+
+    listed = frame(names, "n")
+    rows = listed.select(
+        "name_id", F.col("name_id").alias("entity_id"), F.lit("entity").alias("entity_type"), "form"
+    )
+    params = ScreeningParams(vector_limit=limit)
+    keys = candidates.vector_keys(rows, listed.select("form", "vector"), params)
+    found = candidates.vector_rows(
+        frame(asked, "q").select("form", "vector"), keys, params, name_block=20, path=str(tmp_path)
+    ).collect()
+    expected = set()
+    for i, a in enumerate(asked):
+        cosines = [(-round(float(a @ n), 9), j) for j, n in enumerate(names)]
+        best = sorted(c for c in cosines if -c[0] >= params.cosine_cutoff)[:limit]
+        expected |= {(f"q{i}", j) for _, j in best}
+    assert {(r.query_form, r.name_id) for r in found} == expected
+    cells = -(-len(names) // 20)
+    visits = spark.read.parquet(str(tmp_path / "vector_visits")).count()
+    assert visits < 0.7 * len(asked) * (cells - 1)
+
+
 # ------------------------------------------------------------ end to end
 
 
