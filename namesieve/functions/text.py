@@ -29,7 +29,9 @@ _ONE_TO_ONE = (
     (0x1F4, 0x586), (0x588, 0x674), (0x679, 0x9CA), (0x2010, 0x2024), (0x4E00, 0x9FFF),
 )
 _SHARP_S = "ß"
-_NEEDS_PYTHON = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ONE_TO_ONE) + "]"
+# ASCII first: a long text is left at one comparison per character.
+_FOLDED_HERE = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ONE_TO_ONE)
+_NEEDS_PYTHON = f"[\\x{{80}}-\\x{{10FFFF}}&&[^{_FOLDED_HERE}]]"
 
 
 def fold_text(text: str) -> str:

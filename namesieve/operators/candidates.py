@@ -336,7 +336,8 @@ def vector_rows(
 
     ``query_vectors`` has (form, vector) with distinct forms; ``keys`` comes
     from ``vector_keys``. Returns (query_form, cosine, name_id, entity_id,
-    entity_type, name_form). Working tables go to ``path``.
+    entity_type, name_form). Both should be written tables, for they are read
+    more than once. Working tables go to ``path``.
 
     Names are placed in cells of about ``name_block``. A query meets its most
     promising cell first; the score of its last place there is a floor, and of
@@ -345,29 +346,28 @@ def vector_rows(
     if params.cosine_cutoff <= 0:
         raise ValueError("cosine_cutoff must be positive")
     path = path or work_folder(keys.sparkSession)
-    keys = written(keys, f"{path}/vector_keys")
-    queries = query_vectors.select(F.col("form").alias("query_key"), F.col("vector"))
-    queries = written(queries, f"{path}/vector_queries")
-    limit = params.vector_limit
-    pivots = draw_pivots(keys, name_block)
-    if not len(pivots):  # no names: an empty result
-        top = queries.limit(0).select("query_key", F.lit("").alias("name_key"), F.lit(0.0).alias("score"))
+    limit, kernel = params.vector_limit, _vector_kernel(params.cosine_cutoff, params.vector_limit)
+    queries = query_vectors.select(F.col("form").alias("query_key"), "vector")
+    total = keys.count()
+    if total <= name_block:  # one cell, which every query meets
+        names = keys.select(F.lit(0).alias("bucket"), "name_key", "first_id", "vector")
+        top = block_top(queries.withColumn("bucket", F.lit(0)), names, kernel, limit, name_block)
     else:
+        queries = written(queries, f"{path}/vector_queries")
+        pivots = draw_pivots(keys, total, name_block)
         names = written(assigned(keys, pivots), f"{path}/vector_names")
         cells = measured(names, pivots)
         names = names.select("bucket", "name_key", "first_id", "vector")
-        kernel = _vector_kernel(params.cosine_cutoff, limit)
         home = block_top(home_visits(queries, cells), names, kernel, limit, name_block)
-        home = top = written(home, f"{path}/vector_home")
-        if len(pivots) > 1:
-            full = home.groupBy("query_key").agg(F.count("*").alias("n"), F.min("score").alias("last"))
-            last = F.when(F.col("n") >= limit, F.col("last"))
-            floors = queries.join(full, "query_key", "left").withColumn(
-                "floor", F.coalesce(last, F.lit(params.cosine_cutoff))
-            )
-            visits = written(other_visits(floors, cells), f"{path}/vector_visits")
-            top = home.unionByName(block_top(visits, names, kernel, limit, name_block))
-            top = top_rows(top, ["query_key"], [F.desc("score"), F.asc("first_id")], limit)
+        home = written(home, f"{path}/vector_home")
+        full = home.groupBy("query_key").agg(F.count("*").alias("n"), F.min("score").alias("last"))
+        last = F.when(F.col("n") >= limit, F.col("last"))
+        floors = queries.join(full, "query_key", "left").withColumn(
+            "floor", F.coalesce(last, F.lit(params.cosine_cutoff))
+        )
+        visits = written(other_visits(floors, cells), f"{path}/vector_visits")
+        top = home.unionByName(block_top(visits, names, kernel, limit, name_block))
+        top = top_rows(top, ["query_key"], [F.desc("score"), F.asc("first_id")], limit)
     rows = _best_rows(top, keys, limit, "cosine")
     return rows.withColumnRenamed("query_key", "query_form")
 
