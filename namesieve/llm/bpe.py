@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from namesieve.llm.common import whole
 
 #: Words, and pieces, that a worker remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Longer pieces are encoded one by one, and longer words forgotten after their batch.
 LONG = 64
 #: Pieces encoded side by side, and characters of text taken up at once.
