@@ -36,8 +36,12 @@ class ParsedList:
 
 def side_summary(rows: DataFrame, key: str, fields: list[str], output: str) -> DataFrame:
     """(key, <output>_count, <output>_digest): how many rows a key has, and a digest
-    of them that does not depend on their order. Both combine before the shuffle."""
-    digest = F.sum(F.xxhash64(*fields).cast("decimal(38,0)")).cast("string")
+    of them that does not depend on their order. Both combine before the shuffle.
+
+    Each row is hashed as JSON: ``xxhash64`` of columns skips nulls, so a value moved
+    to a neighbouring null column would leave it as it was."""
+    row = raw_json({f: F.col(f) for f in fields})
+    digest = F.sum(F.xxhash64(row).cast("decimal(38,0)")).cast("string")
     return rows.groupBy(key).agg(
         F.count("*").alias(f"{output}_count"), digest.alias(f"{output}_digest")
     )

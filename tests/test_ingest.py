@@ -234,3 +234,26 @@ def test_a_list_is_stored_by_itself(spark, parsers, tmp_path):
 def test_colliding_ids(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c")], "id long, key string")
     assert [r.id for r in colliding_ids(rows, "id", ["key"]).collect()] == [2]
+
+
+def test_value_moved_to_a_null_column_is_an_update(spark, tmp_path):
+    store = ListStore(spark, str(tmp_path / "store"))
+    head = "Name,Reference,Name Type,Address,Citizenship,Date of Birth\n"
+    party = '9,"Dana Birch","individual",' + ",".join(['"-0- "'] * 9) + "\n"
+    runs = [
+        ("Dana Birch,60,Primary Name,Tehran,,\n", '9,1,"-0- ","Tehran","-0- "\n'),
+        ("Dana Birch,60,Primary Name,,Tehran,\n", '9,1,"-0- ","-0- ","Tehran"\n'),
+    ]
+    for number, (row, address) in enumerate(runs):
+        files = {"sheet": head + row, "party": party, "address": address}
+        paths = {name: tmp_path / f"{name}-{number}.csv" for name in files}
+        for name, text in files.items():
+            paths[name].write_text(text)
+        party_paths = str(paths["party"]), None, str(paths["address"])
+        assert ingest(store, {"OFAC": lambda: party_list(spark, *party_paths),
+                              "DFAT": lambda: sheet_list(spark, str(paths["sheet"]))})
+    entities = {r.source_list: r for r in store.read("entities").collect()}
+    assert entities["DFAT"].nationality == "Tehran"
+    assert all(r.last_updated_at > r.first_seen_at for r in entities.values())
+    log = sorted((r.log_id, r.entities_inserted, r.entities_updated) for r in store.read_log().collect())
+    assert [x[1:] for x in log] == [(1, 0), (1, 0), (0, 1), (0, 1)]
