@@ -61,7 +61,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)]
     hard = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    spans = chat_format.format_turns(turns.unionByName(hard))
+    # turn_template writes each turn by itself, so prefixes may restart.
+    spans = chat_format.format_turns(turns.unionByName(hard), window=64)
     return chat_format.read_back(chat_format.require_stable(spans))
 
 

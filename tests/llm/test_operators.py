@@ -222,6 +222,23 @@ def test_template_that_rewrites_history(spark):
         chat_format.require_stable(spans).collect()
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    def numbered(turns):
+        if turns and turns[0][0] != "system":
+            raise ValueError("a system turn must come first")
+        return "".join(f"turn {i}: {text}\n" for i, (_, text) in enumerate(turns, 1))
+
+    def forgetful(turns):
+        return "".join("-\n" if i < len(turns) - 70 else f"{text}\n" for i, (_, text) in enumerate(turns))
+
+    rows = [(1, t, "user" if t else "system", f"t{t}") for t in range(200)]
+    spans = chat(spark, rows, template=numbered).orderBy("position").collect()
+    assert [s.rendered for s in spans] == [f"turn {t + 1}: t{t}\n" for t in range(200)]
+    assert all(s.stable and s.rendered[s.start : s.stop] == f"t{s.position}" for s in spans)
+    spans = chat(spark, rows, template=forgetful).orderBy("position").collect()
+    assert [s.stable for s in spans] == [t < 70 for t in range(200)]
+
+
 def test_chat_odd_rows(spark):
     rows = [(None, None, None, None), (1, 0, "user", None), (1, 0, "user", None)]
     got = {r.conv_id: r for r in chat_format.read_back(chat(spark, rows)).collect()}
