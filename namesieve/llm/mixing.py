@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from namesieve.llm.common import WORD, whole
+from namesieve.llm.exact_dedup import located
 from namesieve.workspace import work_folder, written
 
 
@@ -172,16 +173,18 @@ PLAN = (
 )
 
 
-def mix(docs: DataFrame, params: MixParams | None = None, text: str = "text") -> DataFrame:
+def mix(
+    docs: DataFrame, params: MixParams | None = None, text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken), one row per row of ``docs``.
 
     ``copies`` says how often the mix repeats the document, ``taken`` its words
-    in the mix.
+    in the mix. The columns ``keep`` go along; ties of an id are ordered by them.
     """
     params = params or MixParams()
     folder = work_folder(docs.sparkSession)
     sizes = docs.select(
-        "doc_id", _source_key("source").alias("source_key"),
+        "doc_id", *keep, _source_key("source").alias("source_key"),
         F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.col("doc_id"), F.lit(params.seed)).alias("draw"),
     )
@@ -207,24 +210,26 @@ def mix(docs: DataFrame, params: MixParams | None = None, text: str = "text") ->
     )
     filled = filled.withColumn("before", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)))
     filled = filled.withColumn("quota", F.col("want") - F.col("before"))
-    place = Window.partitionBy(*key).orderBy("draw", "doc_id")
+    place = Window.partitionBy(*key).orderBy("draw", "doc_id", *keep)
     chosen = drawn.join(filled.select(*key, "quota"), key).withColumn("place", F.row_number().over(place))
     copies = F.col("passes") + (F.col("place") <= F.col("quota")).cast("long")
     return chosen.select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"),
-        (F.col("size") * copies).alias("taken"),
+        (F.col("size") * copies).alias("taken"), *keep,
     )
 
 
 def mixed_documents(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``.
 
-    Rows find their number of copies by id; repeated ids share the largest.
+    Rows find their number of copies by their place in the files, so repeated ids
+    are separate documents.
     """
-    plan = mix(docs, params).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    plan = written(plan, f"{work_folder(docs.sparkSession)}/copies")
-    left, right = docs.alias("docs"), plan.alias("plan")
-    joined = left.join(right, F.col("docs.doc_id").eqNullSafe(F.col("plan.doc_id")))
-    many = F.explode(F.sequence(F.lit(1), F.col("plan.copies").cast("int")))
-    kept = joined.filter(F.col("plan.copies") > 0)
-    return kept.select("docs.*", many.alias("__copy")).drop("__copy")
+    folder = work_folder(docs.sparkSession)
+    placed = located(docs, folder)
+    plan = mix(placed, params, keep=("__path", "__row")).filter("copies > 0")
+    plan = plan.select("__path", "__row", F.col("copies").alias("__copies"))
+    joined = placed.join(written(plan, f"{folder}/copies"), ["__path", "__row"])
+    many = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, many.alias("__copy")).drop("__copy")

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from namesieve.llm.common import first_by_hash, whole
 from namesieve.llm.components import components
+from namesieve.llm.exact_dedup import located
 from namesieve.workspace import work_folder, written
 
 
@@ -256,11 +257,13 @@ def near_pairs(distinct: DataFrame, params: SimHashParams) -> DataFrame:
     return shard_links(distinct.select("fp").mapInArrow(spread, SHARD), radius)
 
 
-def near_groups(docs: DataFrame, params: SimHashParams | None = None, text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): ``component_id`` is the smallest id reachable."""
+def near_groups(
+    docs: DataFrame, params: SimHashParams | None = None, text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, fp, component_id) and the columns ``keep``: ``component_id`` is the smallest id reachable."""
     params = params or SimHashParams()
     folder = work_folder(docs.sparkSession)
-    marked = docs.select("doc_id", fingerprint(F.col(text), params).alias("fp"))
+    marked = docs.select("doc_id", *keep, fingerprint(F.col(text), params).alias("fp"))
     marked = written(marked, f"{folder}/fingerprints")
     per_fp = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), f"{folder}/distinct")
     edges = written(near_pairs(per_fp, params).distinct(), f"{folder}/edges")
@@ -272,15 +275,18 @@ def near_groups(docs: DataFrame, params: SimHashParams | None = None, text: str
     smallest = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
     smallest = written(smallest, f"{folder}/smallest")
     named = written(tied.join(smallest, "root").select("fp", "component_id"), f"{folder}/named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
 
 
 def without_near_copies(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
     """One document of each group, the one with the smallest id; columns of ``docs``.
 
-    Rows with a null id stay: they cannot be told apart. Of rows that repeat an
-    id, all stay if one does.
+    Rows with a null id stay: they cannot be told apart. Each row that repeats an
+    id is judged by its own group, and of a group all rows with its smallest id stay.
     """
     folder = work_folder(docs.sparkSession)
-    groups = near_groups(docs, params).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(written(groups, f"{folder}/dropped"), "doc_id", "left_anti")
+    placed = located(docs, folder)
+    groups = near_groups(placed, params, keep=("__path", "__row"))
+    dropped = groups.filter("doc_id <> component_id").select("__path", "__row")
+    kept = placed.join(written(dropped, f"{folder}/dropped"), ["__path", "__row"], "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -81,6 +81,15 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert mixing.mix(odd_docs, mixing.MixParams(bucket_rows=1)).agg(F.sum("taken")).first()[0] > 0
 
 
+def test_rows_of_one_id_are_mixed_apart(spark):
+    rows = [(1, "w " * n, "a") for n in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.size: r.copies for r in mixing.mix(docs).collect()}
+    assert set(plan.values()) == {1, 2}
+    got = Counter(len(r.text.split()) for r in mixing.mixed_documents(docs).collect())
+    assert got == plan
+
+
 # ------------------------------------------------------------ 2 and 5 dedup
 
 
@@ -354,3 +363,12 @@ def test_simhash_odd_rows(odd_docs, no_docs):
     assert simhash.near_groups(no_docs).count() == 0
     kept = simhash.without_near_copies(odd_docs)
     assert kept.columns == odd_docs.columns and kept.filter("doc_id = 14").count() == 0
+
+
+def test_unique_row_stays_if_its_id_has_a_near_copy(spark):
+    rng = random.Random(5)
+    one, other = (" ".join(str(rng.random()) for _ in range(400)) for _ in range(2))
+    rows = [(3, one), (7, one + " end"), (7, other), (9, other + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.without_near_copies(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, one), (7, other)]
