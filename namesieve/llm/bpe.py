@@ -8,8 +8,8 @@ root names the next merge; a merge changes three leaves (the joined part, the
 one before it, the one swallowed), each by a walk to the root. A piece of n
 bytes takes O(n log n), so a text without any break does no harm.
 
-Pieces repeat, so each Python worker remembers encoded pieces up to a bound
-and then forgets all. Documents are encoded where they are read, without a
+Words repeat, so a batch looks up each of its distinct words once, and a Python
+worker remembers words up to a bound, those used lately (``chunks``). Documents are encoded where they are read, without a
 shuffle. Ids travel as little-endian unsigned 32-bit integers in one binary
 value per text; ``decode`` turns them back into bytes. The ranks come from a
 file named by a parameter and are broadcast (a fixed table of some 50,000
@@ -28,18 +28,20 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namesieve.llm.chunks import Recall, before_marks, binary_array, encode_chunks, packed_ids, slices
 from namesieve.llm.common import whole
 
-#: Words, and pieces, that a worker remembers.
-MEMORY = 250_000
-#: Longer pieces are encoded one by one, and longer words forgotten after their batch.
+#: Chunks that a worker remembers in each of two generations.
+MEMORY = 100_000
+#: Longer pieces are encoded one by one, and longer chunks forgotten after their batch.
 LONG = 64
-#: Pieces encoded side by side, and characters of text taken up at once.
-SIDE_BY_SIDE, BATCH_CHARS = 8192, 2_000_000
+#: Pieces encoded side by side.
+SIDE_BY_SIDE = 8192
 NONE = 1 << 62
 
 
@@ -50,7 +52,11 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class Merges:
-    """The rank of joining two tokens, looked up for many pairs at once."""
+    """The rank of joining two tokens, looked up for many pairs at once.
+
+    Pairs lie in a table with open addressing: a pair is at the slot of its hash
+    or, if that is taken, in the slots after it up to the first empty one.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
@@ -61,77 +67,100 @@ class Merges:
                 left, right = find(token[:cut]), find(token[cut:])
                 if left is not None and right is not None:
                     found[left * self.base + right] = rank
-        self.keys = np.array(sorted(found), dtype=np.int64)
-        self.ranks = np.array([found[k] for k in self.keys.tolist()], dtype=np.int64)
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """NONE where the two do not join."""
-        key = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        bits = (4 * len(found)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.ranks = np.zeros(1 << bits, dtype=np.int64)
+        slots = self._slots(np.fromiter(found, np.int64, len(found))).tolist()
+        for (key, rank), slot in zip(found.items(), slots):
+            while self.keys[slot] != -1:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.ranks[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray, none: int) -> np.ndarray:
+        """``none`` where the two do not join."""
+        keys = left.astype(np.int64) * self.base + right
+        at = self._slots(keys)
+        there = self.keys.take(at)
+        out = np.where(there == keys, self.ranks.take(at), none)
+        open_ = np.flatnonzero((there != keys) & (there != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            there = self.keys.take(at[open_])
+            hit = open_[there == keys[open_]]
+            out[hit] = self.ranks.take(at[hit])
+            open_ = open_[(there != keys[open_]) & (there != -1)]
+        return out
 
 
 def encode_side_by_side(pieces: list[bytes], merges: Merges, width: int) -> list[bytes]:
     """Packed ids of pieces of at most ``width`` bytes, a power of two.
 
-    Row r of ``tree`` is the segment tree of piece r: leaf ``width + i`` holds
-    rank * width + i for the part that starts at byte i and its successor, an
-    inner node the smaller of its two children, so that the root is the
-    leftmost pair of lowest rank. Each round merges one pair of every piece that has one.
+    Every piece has a segment tree of 2 * ``width`` nodes in ``tree``: leaf
+    ``width + i`` holds rank * width + i for the part that starts at byte i and
+    its successor, an inner node the smaller of its two children, so that the
+    root is the leftmost pair of lowest rank. Each round merges one pair of
+    every piece that has one.
     """
+    kind = np.int32 if merges.base * width < 1 << 31 else np.int64
+    none, bits = np.iinfo(kind).max, width.bit_length() - 1
     n = np.array([len(p) for p in pieces])
     many, places = len(pieces), np.arange(width)
     inside = places < n[:, None]
-    ids = np.zeros((many, width + 1), dtype=np.int64)
-    ids[:, :width][inside] = merges.single[np.frombuffer(b"".join(pieces), np.uint8)]
-    after = np.tile(places + 1, (many, 1))
-    before = np.tile(places - 1, (many, 1))
-    paired = places + 1 < n[:, None]
-    leaves = np.full((many, width), NONE)
-    rank = merges.rank(ids[:, :-1][paired], ids[:, 1:][paired])
-    leaves[paired] = np.where(rank < NONE, rank * width + np.nonzero(paired)[1], NONE)
-    tree = np.full((many, 2 * width), NONE)
-    tree[:, width:] = leaves
+    ids = np.zeros((many, width), dtype=kind)
+    ids[inside] = merges.single[np.frombuffer(b"".join(pieces), np.uint8)]
+    after = np.tile((places + 1).astype(kind), many)
+    before = np.tile((places - 1).astype(kind), many)
+    paired = inside[:, 1:]
+    tree = np.full((many, 2 * width), none, dtype=kind)
+    rank = merges.rank(ids[:, :-1][paired], ids[:, 1:][paired], none)
+    value = np.where(rank < none, rank * width + np.nonzero(paired)[1], none)
+    tree[:, width:-1][paired] = value
     low = width
     while low > 1:
         tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
         low //= 2
-    rows = np.flatnonzero(tree[:, 1] < NONE)
+    rows = np.flatnonzero(tree[:, 1] < none)
+    ids, tree = ids.ravel(), tree.ravel()
     while len(rows):
-        root = tree[rows, 1]
-        here, joined = root % width, root // width
-        gone = after[rows, here]
-        stop = after[rows, gone]
-        ids[rows, here] = joined
-        after[rows, here] = stop
-        more = np.flatnonzero(stop < n[rows])
-        before[rows[more], stop[more]] = here[more]
-        value = np.full(len(rows), NONE)
-        rank = merges.rank(joined[more], ids[rows[more], stop[more]])
-        value[more] = np.where(rank < NONE, rank * width + here[more], NONE)
-        less = np.flatnonzero(here > 0)
-        previous = before[rows[less], here[less]]
-        rank = merges.rank(ids[rows[less], previous], joined[less])
+        flat, top = rows * width, rows * (2 * width)
+        root = tree.take(top + 1)
+        here, joined = root & (width - 1), root >> bits
+        gone = after.take(flat + here)
+        stop = after.take(flat + gone)
+        ids[flat + here] = joined
+        after[flat + here] = stop
+        more, less = np.flatnonzero(stop < n.take(rows)), np.flatnonzero(here)
+        before[flat[more] + stop[more]] = here[more]
+        value = np.full(len(rows), none, dtype=kind)
+        rank = merges.rank(joined[more], ids.take(flat[more] + stop[more]), none)
+        value[more] = np.where(rank < none, rank * width + here[more], none)
+        previous = before.take(flat[less] + here[less])
+        rank = merges.rank(ids.take(flat[less] + previous), joined[less], none)
         # Point updates: the swallowed part, the joined part, the part before it.
-        tree[rows, width + gone] = NONE
-        tree[rows, width + here] = value
-        tree[rows[less], width + previous] = np.where(rank < NONE, rank * width + previous, NONE)
-        for row, node in ((rows, width + gone), (rows, width + here), (rows[less], width + previous)):
-            for _ in range(width.bit_length() - 1):
-                node = node >> 1
-                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
-        rows = rows[tree[rows, 1] < NONE]
+        tree[top + (width + gone)] = none
+        tree[top + (width + here)] = value
+        tree[top[less] + (width + previous)] = np.where(rank < none, rank * width + previous, none)
+        node = np.concatenate([gone, here, previous]) + width
+        top = np.concatenate([top, top, top[less]])
+        for _ in range(bits):
+            node >>= 1
+            child = top + 2 * node
+            tree[top + node] = np.minimum(tree.take(child), tree.take(child + 1))
+        rows = rows[tree.take(rows * (2 * width) + 1) < none]
     # Parts that are left: their starts, walked by ``after`` from 0.
-    starts = np.zeros((many, width), dtype=bool)
-    at = np.zeros(many, dtype=np.int64)
-    rows = np.arange(many)
+    starts = np.zeros(many * width, dtype=bool)
+    rows, at = np.arange(many), np.zeros(many, dtype=np.int64)
     while len(rows):
-        starts[rows, at] = True
-        at = after[rows, at]
-        go = at < n[rows]
+        starts[rows * width + at] = True
+        at = after.take(rows * width + at)
+        go = at < n.take(rows)
         rows, at = rows[go], at[go]
-    flat = ids[:, :width][starts].astype("<u4").tobytes()
-    ends = (np.cumsum(starts.sum(1)) * 4).tolist()
+    flat = ids[starts].astype("<u4").tobytes()
+    ends = (np.cumsum(starts.reshape(many, width).sum(1)) * 4).tolist()
     return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
 
@@ -180,105 +209,103 @@ def encode_long(piece: bytes, ranks: dict[bytes, int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-#: White space other than space and line feed, and these two side by side.
-RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-RARE += ["  ", " \n", "\n ", "\n\n"]
-
-
-def _plain(text: str) -> bool:
-    """True if all white space is single spaces and line feeds between other characters."""
-    return not (text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(p in text for p in RARE))
+#: Marks of texts that are not plain: white space other than single spaces and
+#: line feeds between other characters, and the mark that cuts plain texts.
+CUT = "\0"
+RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+NOT_PLAIN = rf"\A[ \n]|[ \n]\z|  | \n|\n |\n\n|[{RARE}{CUT}]"
 
 
 class Encoder:
-    """Encodes texts in one Python worker; remembers words and pieces between batches.
+    """Encodes texts in one Python worker; remembers chunks from batch to batch.
 
     The pattern takes a single space between two other characters as the first
     character of the next piece, and a single line feed there as a piece of its
-    own, whatever surrounds them. So a plain text may be cut before each space
-    and around each line feed, and a word is encoded alike wherever it stands.
-    Any other text is cut by the pattern as a whole.
+    own, whatever surrounds them; a mark after a letter or digit always starts a
+    piece. So a plain text may be cut before each space, around each line feed
+    and before such marks, and a word is encoded alike wherever it stands. Any
+    other text is cut by the pattern as a whole.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pieces = ranks, regex.compile(pattern).findall
         self.merges = Merges(ranks)
-        self.known: dict[str, bytes] = {}  # pieces
-        self.words: dict[str, bytes] = {}  # after a space
-        self.firsts: dict[str, bytes] = {}  # at the start of a line
-        self.long: list[tuple[dict[str, bytes], str]] = []  # to be forgotten after the batch
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that are not known yet, those of like length side by side."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        self.recall = Recall(self.learn, MEMORY, LONG)
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks, each a run of whole pieces."""
+        out: list[bytes | None] = []
+        single, mixed = [], []  # letters, with or without a space before them, are one piece
+        for i, chunk in enumerate(chunks):
+            word = chunk[1:] if chunk[:1] == " " else chunk
+            if word.isalpha():
+                raw = chunk.encode()
+                rank = self.ranks.get(raw)
+                out.append(None if rank is None else pack("<I", rank))
+                if rank is None:
+                    single.append((i, raw))
+            else:
+                out.append(None)
+                mixed.append((i, self.pieces(chunk)))
+        for i, ids in zip([i for i, _ in single], self.merged([raw for _, raw in single])):
+            out[i] = ids
+        known = self.learn_pieces({p for _, pieces in mixed for p in pieces})
+        for i, pieces in mixed:
+            out[i] = b"".join([known[p] for p in pieces])
+        return out
+
+    def learn_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of single pieces."""
+        known: dict[str, bytes] = {}
+        unknown = []
         for piece in pieces:
-            raw = piece.encode()
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                self.known[piece] = pack("<I", rank)
-            elif len(raw) > LONG:
-                self.known[piece] = encode_long(raw, self.ranks)
-                self.long.append((self.known, piece))
+            rank = self.ranks.get(piece.encode())
+            ids = self.recall.seen(piece) if rank is None else pack("<I", rank)
+            if ids is None:
+                unknown.append(piece)
+            else:
+                known[piece] = ids
+        known.update(zip(unknown, self.merged([p.encode() for p in unknown])))
+        return known
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids by merging; pieces of like length side by side."""
+        out = [b""] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if len(piece) > LONG:
+                out[i] = encode_long(piece, self.ranks)
             else:
-                width = max(4, 1 << (len(raw) - 1).bit_length())
-                by_width.setdefault(width, []).append((piece, raw))
+                by_width.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, group in by_width.items():
-            for i in range(0, len(group), SIDE_BY_SIDE):
-                part = group[i : i + SIDE_BY_SIDE]
-                packed = encode_side_by_side([raw for _, raw in part], self.merges, width)
-                self.known.update(zip((piece for piece, _ in part), packed))
-
-    def _learn_words(self, missing: set[str], store: dict[str, bytes], lead: str) -> None:
-        cut = {word: self.pieces(lead + word) for word in missing}
-        self.learn({p for pieces in cut.values() for p in pieces if p not in self.known})
-        known = self.known
-        for word, pieces in cut.items():
-            store[word] = b"".join([known[p] for p in pieces])
-            if len(word) > LONG:
-                self.long.append((store, word))
-
-    def _forget(self) -> None:
-        for store in (self.known, self.words, self.firsts):
-            if len(store) > MEMORY:
-                store.clear()
-        for store, word in self.long:
-            store.pop(word, None)
-        self.long.clear()
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        plain = [_plain(t) for t in texts]
-        lines = [[line.split(" ") for line in t.split("\n")] if p else [] for t, p in zip(texts, plain)]
-        firsts, words = set(), set()
-        for text in lines:
-            firsts.update([line[0] for line in text])
-            for line in text:
-                words.update(line[1:])
-        self._learn_words(firsts.difference(self.firsts), self.firsts, "")
-        self._learn_words(words.difference(self.words), self.words, " ")
-        odd = {i: self.pieces(texts[i]) for i, p in enumerate(plain) if not p}
-        self.learn({p for pieces in odd.values() for p in pieces if p not in self.known})
-        if "\n" not in self.known:
-            self.learn({"\n"})
-        feed, known = self.known["\n"], self.known.__getitem__
-        first, word = self.firsts.__getitem__, self.words.__getitem__
-        out = [
-            b"".join(map(known, odd[i])) if i in odd
-            else feed.join([first(line[0]) + b"".join(map(word, line[1:])) for line in text])
-            for i, text in enumerate(lines)
-        ]
-        self._forget()
+            for low in range(0, len(group), SIDE_BY_SIDE):
+                part = group[low : low + SIDE_BY_SIDE]
+                packed = encode_side_by_side([pieces[i] for i in part], self.merges, width)
+                for i, ids in zip(part, packed):
+                    out[i] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _some(self, texts: pa.Array) -> pa.Array:
+        odd = pc.match_substring_regex(texts, pattern=NOT_PLAIN)
+        marked = pc.replace_substring(texts.filter(pc.invert(odd)), pattern=" ", replacement=CUT + " ")
+        marked = pc.replace_substring(marked, pattern="\n", replacement=f"{CUT}\n{CUT}")
+        marked = before_marks(marked, CUT)
+        plain = encode_chunks(pc.split_pattern(marked, CUT), self.recall)
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(odd_at):
+            return plain
+        pieces = [self.pieces(t) for t in texts.filter(odd).to_pylist()]
+        other = encode_chunks(pa.array(pieces, pa.list_(pa.string())), self.recall)
+        order = np.concatenate([np.setdiff1d(np.arange(len(texts)), odd_at), odd_at])
+        return pa.concat_arrays([plain, other]).take(pa.array(np.argsort(order)))
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
         """Packed ids of each text."""
-        out, some, chars = [], [], 0
-        for text in texts:
-            some.append(text)
-            chars += len(text)
-            if chars >= BATCH_CHARS:
-                out += self._some(some)
-                some, chars = [], 0
-        return out + self._some(some)
+        parts = [self._some(part) for part in slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
 
 
 @lru_cache(maxsize=2)
@@ -287,12 +314,23 @@ def _encoder(content: bytes, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def _tokens(content: bytes) -> np.ndarray:
+def _tokens(content: bytes) -> pa.Array:
     ranks = parse_ranks(content)
-    tokens = np.full(max(ranks.values()) + 1, None, dtype=object)
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    return tokens
+    return pa.array(tokens, pa.binary())
+
+
+def decode_array(packed: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The bytes of packed ids: tokens one after another are the texts one after another."""
+    ids, ends = packed_ids(packed)
+    found = tokens.take(pa.array(ids))
+    if found.null_count:
+        raise ValueError("an id stands for no token")
+    _, offsets, data = found.buffers()
+    at = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1]
+    return binary_array(data if data is not None else b"", at[ends] if len(ids) else ends)
 
 
 class Tokenizer:
@@ -307,14 +345,10 @@ class Tokenizer:
         content, pattern = self.content, self.pattern
 
         @F.arrow_udf("binary")
-        def packed_ids(texts: pa.Array) -> pa.Array:
-            encoder = _encoder(content.value, pattern)
-            packed: list[bytes] = []
-            for i in range(0, len(texts), 512):  # few texts at a time as Python strings
-                packed += encoder.encode(texts.slice(i, 512).to_pylist())
-            return pa.array(packed, pa.binary())
+        def text_ids(texts: pa.Array) -> pa.Array:
+            return _encoder(content.value, pattern).encode_array(texts)
 
-        return packed_ids(whole(text))
+        return text_ids(whole(text))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of packed ids."""
@@ -323,10 +357,8 @@ class Tokenizer:
         @F.arrow_udf("binary")
         def text_bytes(packed: pa.Array) -> pa.Array:
             tokens = _tokens(content.value)
-            return pa.array(
-                [b"".join(tokens[np.frombuffer(p, "<u4")].tolist()) for p in packed.to_pylist()],
-                pa.binary(),
-            )
+            ends = [decode_array(packed.slice(i, 256), tokens) for i in range(0, len(packed), 256)]
+            return pa.concat_arrays(ends) if ends else pa.array([], pa.binary())
 
         return text_bytes(ids)
 
