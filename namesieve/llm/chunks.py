@@ -56,7 +56,8 @@ class Recall:
 
 
 #: A letter or digit of Latin script, and an ASCII punctuation mark after it.
-MARK_AFTER = r"([0-9A-Za-zÀ-ÖØ-öø-ſ])([!-/:-@\[-`{-~])"
+#: Not the dotted capital I, which becomes a letter and a mark in lower case.
+MARK_AFTER = r"([0-9A-Za-zÀ-ÖØ-öø-įı-ſ])([!-/:-@\[-`{-~])"
 
 
 def before_marks(texts: pa.Array, cut: str) -> pa.Array:

@@ -12,6 +12,7 @@ from namesieve.llm import (
     exact_dedup,
     line_dedup,
     mixing,
+    packing,
     quality_mil,
     quality_rules,
     simhash,
@@ -21,6 +22,7 @@ from namesieve.llm import (
 from namesieve.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKED_VOCABULARY = "word_bpe_49k.json"
 HARD_TEXT = "\\### Assistant: </turn> ok"
 URL_RULES = [
     url_filter.rule(verdict, text)
@@ -98,6 +100,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PACKED_VOCABULARY)
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), path))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -109,6 +116,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_packing": op13_packing,
 }
 
 LINES_SQL = r"""
