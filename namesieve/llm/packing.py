@@ -13,7 +13,7 @@ are powers of two. No sequence needs padding.
 
 Data flow: each task reads its part of the table, tokenises and packs it as a
 stream: no shuffle, nothing reaches the driver, and a lost task is done again
-alone. A pool holds at most ``pool`` rests. Sequences are numbered by
+alone. A pool holds at most ``pool`` rests, or less than a window. Sequences are numbered by
 task, so a table of many small parts has a few short sequences for each part.
 
 Tokenising: for tokenizers that split at white space (``splits_at_space``) each
@@ -169,7 +169,7 @@ class Packer:
     def __init__(self, params: PackParams, first_sequence: int):
         self.params, self.sequence = params, first_sequence
         self.pool: dict[int, deque[Rest]] = {}
-        self.waiting = 0  # rests
+        self.waiting, self.tokens = 0, 0  # rests, and their ids
         self.rows: list[tuple] = []
         self.row_bytes = 0
 
@@ -183,8 +183,10 @@ class Packer:
         return Rest(rest.doc, rest.start + length, rest.ids[4 * length :], rest.doc_tokens)
 
     def _wait(self, rest: Rest) -> None:
-        self.pool.setdefault(len(rest.ids) // 4, deque()).append(rest)
+        length = len(rest.ids) // 4
+        self.pool.setdefault(length, deque()).append(rest)
         self.waiting += 1
+        self.tokens += length
 
     def _next(self, length: int) -> Rest:
         queue = self.pool[length]
@@ -192,6 +194,7 @@ class Packer:
         if not queue:
             del self.pool[length]
         self.waiting -= 1
+        self.tokens -= length
         return rest
 
     def add(self, doc: object, ids: bytes) -> None:
@@ -204,7 +207,7 @@ class Packer:
         if total % window:
             start = total - total % window
             self._wait(Rest(doc, start, ids[4 * start :], total))
-        while self.waiting > self.params.pool:
+        while self.waiting > self.params.pool and self.tokens >= window:
             self._fill()
 
     def _fill(self) -> None:
@@ -231,12 +234,11 @@ class Packer:
     def finish(self) -> None:
         """Full windows while there is enough, then sequences of 2^k ids."""
         window = self.params.window
-        left = sum(length * len(rests) for length, rests in self.pool.items())
-        while left >= window:
+        while self.tokens >= window:
             self._fill()
-            left -= window
+        left = self.tokens
         rests = deque(r for length in sorted(self.pool, reverse=True) for r in self.pool[length])
-        self.pool, self.waiting = {}, 0
+        self.pool, self.waiting, self.tokens = {}, 0, 0
         while left:
             size, offset = 1 << (left.bit_length() - 1), 0
             while offset < size:
