@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namesieve.workspace import written
+
 #: White space and words, as all word-based operators here understand them.
-BLANK = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: ``bytes.split()`` without an argument splits on exactly the bytes of BLANK.
 
@@ -15,12 +17,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bounds of a batch of rows on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES.
+
+    Rows of whole texts queue in the JVM and in Python; the session's usual
+    10,000 rows of them are more than a worker should hold.
+    """
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(setting, "0").rstrip("b") or 0)
+        if not 0 < now <= bound:
+            spark.conf.set(setting, str(bound))
+
+
 def whole(text: str | Column = "text") -> Column:
     """A text with null as the empty text."""
     column = F.col(text) if isinstance(text, str) else text
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def located(docs: DataFrame, folder: str, in_files: bool = False) -> DataFrame:
+    """(caller, path, row): every row in a struct, with the file and the place in it where it lies.
+
+    The rows are written first, so that places are unique whatever the plan of
+    ``docs`` does with its files. A caller whose table is a plain scan of
+    different files states that with ``in_files``, which saves the copy.
+    """
+    if not in_files:
+        docs = written(docs, f"{folder}/rows")
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    place = docs.metadataColumn("_metadata")
+    return docs.select(
+        F.struct(*columns).alias("caller"), place["file_path"].alias("path"), place["row_index"].alias("row")
+    )
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows no label may be learnt from. A null id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

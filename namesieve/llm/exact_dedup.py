@@ -24,11 +24,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.llm.common import whole
+from namesieve.llm.common import located, whole
 from namesieve.workspace import work_folder, written
 
 STATE_SETTINGS = {
@@ -62,18 +61,6 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
-def located(docs: DataFrame, folder: str) -> DataFrame:
-    """``docs`` with ``__path`` and ``__row``; rows that lie in no file are written first."""
-    where = [
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.row_index").alias("__row"),
-    ]
-    try:
-        return docs.select("*", *where)
-    except AnalysisException:
-        return written(docs, f"{folder}/texts").select("*", *where)
-
-
 class DedupState:
     """Digests seen so far, in one shared folder."""
 
@@ -110,22 +97,24 @@ class DedupState:
 
 
 def exact_groups(
-    docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = sha256
+    docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = sha256, in_files: bool = False
 ) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest, path, row), one row per row of ``docs``."""
+    """(doc_id, keep_id, group_size, kept, digest, path, row), one row per row of ``docs``.
+
+    ``in_files``: the table is a plain scan of different files, see ``located``.
+    """
     folder = work_folder(docs.sparkSession)
-    return _groups(located(docs, folder), folder, text, digest)
+    return _groups(located(docs, folder, in_files), folder, text, digest)
 
 
 def _groups(
-    docs: DataFrame, folder: str, text: str = "text", digest: Callable[[Column], Column] = sha256
+    rows: DataFrame, folder: str, text: str = "text", digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
     """``exact_groups`` of rows that have their locator."""
-    spark = docs.sparkSession
-    placed = docs.select(
-        F.col("doc_id").alias("id"), whole(text).alias("body"),
-        F.col("__path").alias("path"), F.col("__row").alias("row"),
-    )
+    spark = rows.sparkSession
+    placed = rows.select(
+        F.col("caller.doc_id").alias("id"), whole(F.col(f"caller.`{text}`")).alias("body"), "path", "row"
+    )
     named = placed.select(
         digest(F.col("body")).alias("digest"), F.octet_length("body").alias("n_bytes"),
         "id", "path", "row",
@@ -187,11 +176,12 @@ def state_is_empty(spark: SparkSession, folder: str) -> bool:
     return not files.exists(root)
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """The kept rows, with the columns of ``docs``."""
+def without_copies(docs: DataFrame, in_files: bool = False) -> DataFrame:
+    """The kept rows, with the columns of ``docs``: one row of each text, also where ids repeat.
+
+    ``in_files``: the table is a plain scan of different files, see ``located``.
+    """
     folder = work_folder(docs.sparkSession)
-    placed = located(docs, folder)
-    kept = _groups(placed, folder).filter("kept").select(
-        F.col("path").alias("__path"), F.col("row").alias("__row")
-    )
-    return placed.join(kept, ["__path", "__row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = located(docs, folder, in_files)
+    kept = _groups(placed, folder).filter("kept").select("path", "row")
+    return placed.join(kept, ["path", "row"], "left_semi").select("caller.*")

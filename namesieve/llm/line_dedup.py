@@ -12,8 +12,8 @@ document costs one row per task. Digests meet the shared keys in a join whose
 both sides are written tables, which Spark splits when one key is hot. Texts
 are joined once with the positions they lose.
 
-Nulls and odd rows: a null or empty text is one empty line. A null id ranks
-after every other. Rows with the same id are one document for counting; rows
+Nulls and odd rows: a null or empty text is one empty line. Ids are integers; a
+null id ranks after every other. Rows with the same id are one document for counting; rows
 equal in id and text are reassembled alike. Other columns are not read.
 """
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.llm.common import BLANK, whole
+from namesieve.llm.common import BLANKS, whole
 from namesieve.workspace import work_folder, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,7 +38,7 @@ class LineParams:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", ""), UPPER, LOWER)
+    return F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
 def _lines(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 Every source gets a budget of words. Whole passes over the source are taken
 while they fit; the rest of the budget is a subset-sum problem: documents are
-counted by exact length, most of the budget is spread over the lengths in
-proportion to their counts, and a bounded knapsack decided by dynamic
-programming fits what remains to the word. Which documents of a length are
+counted by exact length, all but a few long documents' worth of the budget is
+spread over the lengths in proportion to their counts with seeded rounding, and
+a bounded knapsack decided by dynamic programming fits what remains to the word. Which documents of a length are
 taken follows a seeded hash, so reruns agree.
 
 Data flow: texts are read once and reduced to (doc_id, source, size). The
@@ -31,8 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from namesieve.llm.common import WORD, whole
-from namesieve.llm.exact_dedup import located
+from namesieve.llm.common import WORD, located, whole
 from namesieve.workspace import work_folder, written
 
 
@@ -51,37 +50,42 @@ class MixParams:
     bucket_rows: int = 512
 
 
-def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np.ndarray:
-    """How many documents of each length to take so that the words come nearest to ``budget``.
+def _share(sizes: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Documents of each length in proportion to the counts, of at most ``budget`` words.
 
-    ``sizes`` are distinct and positive. First a proportional share of every
-    length, leaving about ``table`` words; then a bounded knapsack over the
-    documents left, each length split into 1, 2, 4, ... documents. ``via[s]`` is
-    the item by which the sum s was first reached; items on a path strictly
-    decrease, so none is used twice.
+    The fractional part of a share is rounded up or down by ``unit``, a random
+    number per length, so every length gets its share on average; what is then
+    too much goes in the random ``order``.
     """
     total = int((sizes * counts).sum())
-    if budget <= 0 or total == 0:
-        return np.zeros_like(counts)
-    if budget >= total:
-        return counts.copy()
-    order = np.argsort(-sizes, kind="stable")
-    taken = (counts * (max(0, budget - table) / total)).astype(np.int64)
-    left = budget - int((sizes * taken).sum())
+    taken = np.minimum(counts, np.floor(counts * (max(0, budget) / total) + unit)).astype(np.int64)
+    over = int((sizes * taken).sum()) - max(0, budget)
     for i in order:
-        if left > table:
-            more = min(int(counts[i] - taken[i]), (left - table) // int(sizes[i]))
-            taken[i] += more
-            left -= more * int(sizes[i])
-    # Sums up to twice the remainder, so that overshooting by less than the gap wins.
+        if over <= 0:
+            break
+        fewer = min(int(taken[i]), 1)
+        taken[i] -= fewer
+        over -= fewer * int(sizes[i])
+    return taken if over <= 0 else np.zeros_like(taken)
+
+
+def _subset_sum(sizes: np.ndarray, spare: np.ndarray, left: int, order: np.ndarray) -> np.ndarray:
+    """How many more of each length come nearest to ``left`` words, by a bounded knapsack.
+
+    A length enters as 1, 2, 4, ... documents. ``via[s]`` is the item by which
+    the sum s was first reached; items on a path strictly decrease, so none is
+    used twice. Sums go up to twice ``left``, so that overshooting by less than
+    the gap wins.
+    """
+    more = np.zeros_like(spare)
     reached = np.zeros(2 * left + 1, dtype=bool)
     reached[0] = True
     via = np.full(2 * left + 1, -1, dtype=np.int32)
     items: list[tuple[int, int]] = []
     for i in order:
-        spare, piece = int(counts[i] - taken[i]), 1
-        while spare > 0 and not reached[left]:
-            piece = min(piece, spare)
+        rest, piece = int(spare[i]), 1
+        while rest > 0 and not reached[left]:
+            piece = min(piece, rest)
             weight = piece * int(sizes[i])
             if weight >= len(reached):
                 break
@@ -91,15 +95,54 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int) -
                 via[at] = len(items)
                 reached[at] = True
             items.append((int(i), piece))
-            spare -= piece
+            rest -= piece
             piece *= 2
     sums = np.flatnonzero(reached)
     at = int(sums[np.argmin(np.abs(sums - left))])
     while at:
         i, piece = items[via[at]]
-        taken[i] += piece
+        more[i] += piece
         at -= piece * int(sizes[i])
-    return taken
+    return more
+
+
+def fit_counts(
+    sizes: np.ndarray, counts: np.ndarray, budget: int, table: int, seed: int = 0
+) -> np.ndarray:
+    """How many documents of each length to take so that the words come nearest to ``budget``.
+
+    ``sizes`` are distinct and positive. All but a remainder of a few long
+    documents is spread over the lengths in proportion to their counts; a
+    bounded knapsack over the documents left, lengths in seeded order, fits the
+    remainder. If it misses, more of the share is given back, eight times as
+    much each time, up to ``table`` words (beyond the longest document).
+    """
+    total = int((sizes * counts).sum())
+    if budget <= 0 or total == 0:
+        return np.zeros_like(counts)
+    if budget >= total:
+        return counts.copy()
+    rank = np.argsort(np.argsort(sizes))  # draws go by length, whatever the order of the rows
+    draw = np.random.default_rng([seed, budget, len(sizes)])
+    unit, order = draw.random(len(sizes))[rank], np.argsort(draw.random(len(sizes))[rank], kind="stable")
+    best, missed, free = counts, total - budget, 4 * int(sizes.max())
+    while missed:
+        free = min(free, table, budget)
+        taken = _share(sizes, counts, budget - free, order, unit)
+        left = budget - int((sizes * taken).sum())
+        for i in order:
+            if left > table:
+                more = min(int(counts[i] - taken[i]), (left - table) // int(sizes[i]))
+                taken[i] += more
+                left -= more * int(sizes[i])
+        taken += _subset_sum(sizes, counts - taken, left, order)
+        gap = abs(int((sizes * taken).sum()) - budget)
+        if gap < missed:
+            best, missed = taken, gap
+        if free >= min(table, budget):
+            break
+        free *= 8
+    return best
 
 
 def _source_key(source: str) -> Column:
@@ -160,7 +203,7 @@ def _fit_source(params: MixParams):
         passes = int(target // total) if total else 0
         extra = np.zeros_like(count)
         some = size > 0
-        extra[some] = fit_counts(size[some], count[some], round(target - passes * total), params.table)
+        extra[some] = fit_counts(size[some], count[some], round(target - passes * total), params.table, params.seed)
         return rows[["source_key", "size", "n", "source_size", "target"]].assign(
             passes=passes, extra=extra
         )
@@ -219,17 +262,19 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, params: MixParams | None = None, in_files: bool = False
+) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``.
 
     Rows find their number of copies by their place in the files, so repeated ids
-    are separate documents.
+    and repeated rows are separate documents. ``in_files``: the table is a plain
+    scan of different files, see ``located``.
     """
     folder = work_folder(docs.sparkSession)
-    placed = located(docs, folder)
-    plan = mix(placed, params, keep=("__path", "__row")).filter("copies > 0")
-    plan = plan.select("__path", "__row", F.col("copies").alias("__copies"))
-    joined = placed.join(written(plan, f"{folder}/copies"), ["__path", "__row"])
-    many = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, many.alias("__copy")).drop("__copy")
+    placed = located(docs, folder, in_files)
+    texts = placed.select("caller.doc_id", "caller.source", "caller.text", "path", "row")
+    plan = mix(texts, params, keep=("path", "row")).filter("copies > 0").select("path", "row", "copies")
+    joined = placed.join(written(plan, f"{folder}/copies"), ["path", "row"])
+    many = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return joined.select("caller", many.alias("copy")).select("caller.*")

@@ -6,8 +6,8 @@ a_k = softmax_k(w . (tanh(V h_k) * sigmoid(U h_k))), and a logistic layer scores
 the weighted sum of the passages. Only documents have labels: the attention
 learns which passages decide.
 
-Training uses a bounded sample of labelled rows, whose passage vectors are
-computed on the executors; the model is a few small matrices. Scoring encodes
+Training uses a sample of labelled rows, bounded in rows and in bytes of text,
+whose passage vectors are computed on the executors; the model is a few small matrices. Scoring encodes
 and scores documents where they are read, one Arrow batch at a time, without a
 shuffle. All passages of a text count, however long it is.
 
@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from namesieve.llm.common import held_out, labelled_sample, whole
+from namesieve.workspace import work_folder, written
 
 #: Byte classes of the single-byte rates: each printable ASCII character that is
 #: no letter or digit has its own, the others share one per kind.
@@ -44,10 +46,13 @@ PAIRS = 96
 
 @dataclass(frozen=True)
 class MilParams:
-    """``per_class`` bounds the labelled rows of each class that are learnt from."""
+    """``per_class`` bounds the labelled rows of each class that are learnt from,
+    ``class_bytes`` their texts together: rows are drawn in a seeded order, and
+    those that do not fit any more are left out."""
 
     passage: int = 512
     per_class: int = 2000
+    class_bytes: int = 64_000_000
     attention: int = 16
     rounds: int = 160
     rate: float = 0.02
@@ -179,8 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, params: MilParams, label: str = "qua
         parts = [vectors[e - c : e].tobytes() for e, c in zip(ends, counts)]
         return pa.StructArray.from_arrays([pa.array(parts, pa.binary()), pa.array(counts)], ["vectors", "passages"])
 
+    folder = work_folder(docs.sparkSession)
     marked = docs.select("doc_id", whole("text").alias("body")).join(F.broadcast(sample), "doc_id")
-    rows = marked.select("doc_id", "label", encode(F.col("body")).alias("bag")).toPandas()
+    drawn = marked.select(
+        "doc_id", "label", F.octet_length("body").cast("long").alias("n_bytes"),
+        F.xxhash64("doc_id", F.lit(params.seed)).alias("draw"), encode(F.col("body")).alias("bag"),
+    )
+    drawn = written(drawn, f"{folder}/labelled")
+    in_order = Window.partitionBy("label").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = drawn.withColumn("held", F.sum("n_bytes").over(in_order)).filter(F.col("held") <= params.class_bytes)
+    rows = held.select("doc_id", "label", "bag").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     y = rows["label"].to_numpy()
     if len(np.unique(y)) < 2:

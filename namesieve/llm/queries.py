@@ -10,11 +10,13 @@ from namesieve.llm import (
     bpe,
     chat_format,
     exact_dedup,
+    filter_audit,
     line_dedup,
     mixing,
     packing,
     quality_mil,
     quality_rules,
+    ranked_search,
     simhash,
     toxicity,
     url_filter,
@@ -54,7 +56,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return exact_dedup.exact_groups(docs).select(
+    return exact_dedup.exact_groups(docs, in_files=True).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
 
@@ -63,7 +65,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)]
     hard = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    # turn_template writes each turn by itself, so prefixes may restart.
+    # turn_template writes each turn by itself, so prefixes may restart in costly conversations.
     spans = chat_format.format_turns(turns.unionByName(hard), window=64)
     return chat_format.read_back(chat_format.require_stable(spans))
 
@@ -100,6 +102,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.drop("filter")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PACKED_VOCABULARY)
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), path))
@@ -116,6 +127,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_ranked_search": op12_ranked_search,
     "op13_packing": op13_packing,
 }
 
@@ -162,8 +175,77 @@ select conv_id, count(*) as n_turns,
 from shaped group by conv_id
 """
 
+AUDIT_SQL = r"""
+with docs as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as body,
+    min(doc_id) over (partition by coalesce(text, '')) as first_id from documents),
+split as (
+  select *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from docs),
+flags as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+masked as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (len(words) < 200)::int
+      + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+      + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body))::int
+      + 8 * regexp_matches(body, '[#$%&*|]')::int
+      + 16 * (doc_id > first_id)::int as mask
+  from split left join flags using (doc_id)),
+cells as (
+  select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from masked group by all),
+letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as l(letter, bit)),
+orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order,
+    [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a, letters b, letters c, letters d, letters e
+  where a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps as (
+  select filter_order, step::int as step, bits[step] as bit,
+    coalesce(list_sum(bits[1:step - 1]), 0)::bigint as state
+  from orders, unnest(range(1, 6)) as s(step)),
+counted as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (where mask & (state | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where mask & state = 0 and mask & bit <> 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where mask & state <> 0 and mask & bit <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where mask & state = 0 and mask & bit <> 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where mask & state = 0 and mask & bit <> 0), 0)::bigint as toxic_lost
+  from cells, steps group by all)
+select * exclude (bit), sum(removed) over (partition by part, bit)::bigint as shapley from counted
+"""
+
+SEARCH_SQL = r"""
+with tokens as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+held as (select doc_id, term, count(*) as tf from tokens group by all),
+sizes as (select doc_id, sum(tf)::bigint as n from held group by all),
+totals as (select count(*) as docs, sum(n)::bigint as terms from sizes),
+asked as (
+  select item_id, term, count(*) as c from (
+    select item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+found as (select * from held where term in (select term from asked)),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+  from (select term, count(*) as df from found group by all), totals),
+norms as (select doc_id, 100 - 25 + (25 * n * docs) // terms as m from sizes, totals),
+scored as (
+  select item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from asked join found using (term) join weights using (term) join norms using (doc_id) group by all),
+ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+  from scored where score > 0)
+select * from ranked where rank <= 20
+"""
+
 ORACLES = {
     "op2_line_dedup": LINES_SQL,
     "op5_exact_dedup": COPIES_SQL,
     "op6_chat_format": CHAT_SQL,
+    "op11_filter_audit": AUDIT_SQL,
+    "op12_ranked_search": SEARCH_SQL,
 }

@@ -42,9 +42,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.llm.common import first_by_hash, whole
+from namesieve.llm.common import first_by_hash, located, whole
 from namesieve.llm.components import components
-from namesieve.llm.exact_dedup import located
 from namesieve.workspace import work_folder, written
 
 
@@ -278,15 +277,19 @@ def near_groups(
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
 
 
-def without_near_copies(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
+def without_near_copies(
+    docs: DataFrame, params: SimHashParams | None = None, in_files: bool = False
+) -> DataFrame:
     """One document of each group, the one with the smallest id; columns of ``docs``.
 
     Rows with a null id stay: they cannot be told apart. Each row that repeats an
     id is judged by its own group, and of a group all rows with its smallest id stay.
+    ``in_files``: the table is a plain scan of different files, see ``located``.
     """
     folder = work_folder(docs.sparkSession)
-    placed = located(docs, folder)
-    groups = near_groups(placed, params, keep=("__path", "__row"))
-    dropped = groups.filter("doc_id <> component_id").select("__path", "__row")
-    kept = placed.join(written(dropped, f"{folder}/dropped"), ["__path", "__row"], "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = located(docs, folder, in_files)
+    texts = placed.select("caller.doc_id", "caller.text", "path", "row")
+    groups = near_groups(texts, params, keep=("path", "row"))
+    dropped = groups.filter("doc_id <> component_id").select("path", "row")
+    kept = placed.join(written(dropped, f"{folder}/dropped"), ["path", "row"], "left_anti")
+    return kept.select("caller.*")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long"
 
@@ -15,12 +16,18 @@ def odd_docs(spark):
     """Nulls, empty and long texts, repeated rows, and columns with names used inside."""
     rows = [(i, t, "en", [None, "a", "b"][i % 3], 0, 9, 9) for i, t in enumerate(ODD_TEXTS)]
     rows += [rows[13], (None, "null id", None, None, None, None, None), (None, "null id", None, None, 1, 1, 1)]
-    return spark.createDataFrame(rows, DOCS)
+    return clashing(spark.createDataFrame(rows, DOCS))
+
+
+def clashing(docs):
+    """With columns of names that the operators, or Spark's files, use themselves."""
+    names = ("_metadata", "__path", "__row", "__copies", "path", "row", "caller", "verdict", "copies", "body", "key")
+    return docs.withColumns({name: F.lit(f"own {name}") for name in names})
 
 
 @pytest.fixture(scope="session")
 def no_docs(spark):
-    return spark.createDataFrame([], DOCS)
+    return clashing(spark.createDataFrame([], DOCS))
 
 
 @pytest.fixture(scope="session")
