@@ -1,4 +1,7 @@
-"""From raw documents to token ids: quality rules, exact and near copies, a mix, BPE."""
+"""From raw documents to token ids: quality rules, exact and near copies, a mix, BPE.
+
+Every stage is given a table that lies in files of its own, as ``run`` writes it.
+"""
 
 from __future__ import annotations
 
@@ -19,18 +22,18 @@ def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return exact_dedup.without_copies(docs)
+    return exact_dedup.without_copies(docs, in_files=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.without_near_copies(docs)
+    return simhash.without_near_copies(docs, in_files=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     ship(spark)
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, in_files=True)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
