@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.llm.chunks import Recall, before_marks, binary_array, encode_chunks, packed_ids, slices
-from namesieve.llm.common import whole
+from namesieve.llm.common import bounded_batches, whole
 
 #: Chunks that a worker remembers in each of two generations.
 MEMORY = 100_000
@@ -367,5 +367,6 @@ def encode_documents(
     docs: DataFrame, tokenizer: Tokenizer, text: str = "text"
 ) -> DataFrame:
     """(doc_id, ids, decoded): packed ids of every text, and the bytes they decode to."""
+    bounded_batches(docs.sparkSession)
     encoded = docs.select("doc_id", tokenizer.encode(F.col(text)).alias("ids"))
     return encoded.select("doc_id", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))

@@ -27,11 +27,10 @@ def bounded_batches(spark: SparkSession) -> None:
     Rows of whole texts queue in the JVM and in Python; the session's usual
     10,000 rows of them are more than a worker should hold.
     """
-    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        setting = f"spark.sql.execution.arrow.{name}"
-        now = int(spark.conf.get(setting, "0").rstrip("b") or 0)
-        if not 0 < now <= bound:
-            spark.conf.set(setting, str(bound))
+    rows, size = (f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
 
 
 def whole(text: str | Column = "text") -> Column:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from namesieve.llm.chunks import Recall, before_marks, encode_chunks, packed_ids, slices
-from namesieve.llm.common import whole
+from namesieve.llm.common import bounded_batches, whole
 
 #: Pre-tokenizer pattern of word tokenizers in lower case, for words of ASCII.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -267,6 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, params: PackParams | None = None,
     of the document before the piece, ``offset`` those of the sequence.
     """
     params = params or PackParams()
+    bounded_batches(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
     rows = docs.select("doc_id", whole(text).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()

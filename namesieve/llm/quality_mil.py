@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from namesieve.llm.common import held_out, labelled_sample, whole
+from namesieve.llm.common import bounded_batches, held_out, labelled_sample, whole
 from namesieve.workspace import work_folder, written
 
 #: Byte classes of the single-byte rates: each printable ASCII character that is
@@ -172,6 +172,7 @@ def train(x: np.ndarray, counts: np.ndarray, label: np.ndarray, params: MilParam
 
 def fit(docs: DataFrame, labels: DataFrame, params: MilParams, label: str = "quality") -> MilModel | None:
     """A model from a bounded sample; None if a class has no row to learn from."""
+    bounded_batches(docs.sparkSession)
     wanted = {0: params.per_class, 1: params.per_class}
     sample = labelled_sample(labels, label, wanted, params.seed)
     size = params.passage

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from namesieve.llm.chunks import binary_array, packed_ids, slices
-from namesieve.llm.common import whole
+from namesieve.llm.common import bounded_batches, whole
 from namesieve.workspace import work_folder, written
 
 #: What separates terms: ASCII characters other than letters and digits.
@@ -238,6 +238,7 @@ def search(
     """
     params = params or SearchParams()
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = work_folder(spark)
 
     @F.arrow_udf("array<string>")

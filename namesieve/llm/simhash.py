@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namesieve.llm.common import first_by_hash, located, whole
+from namesieve.llm.common import bounded_batches, first_by_hash, located, whole
 from namesieve.llm.components import components
 from namesieve.workspace import work_folder, written
 
@@ -261,6 +261,7 @@ def near_groups(
 ) -> DataFrame:
     """(doc_id, fp, component_id) and the columns ``keep``: ``component_id`` is the smallest id reachable."""
     params = params or SimHashParams()
+    bounded_batches(docs.sparkSession)
     folder = work_folder(docs.sparkSession)
     marked = docs.select("doc_id", *keep, fingerprint(F.col(text), params).alias("fp"))
     marked = written(marked, f"{folder}/fingerprints")

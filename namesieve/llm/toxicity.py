@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.llm.common import held_out, labelled_sample, whole
+from namesieve.llm.common import bounded_batches, held_out, labelled_sample, whole
 
 #: Terms of one tuple are swapped for each other.
 IDENTITY_TERMS = (
@@ -148,6 +148,7 @@ def train(
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> ToxicityModel | None:
     """A model from a bounded sample; None if a class has no row to learn from."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(labels, "toxic", {0: params.clean, 1: params.toxic}, params.seed)
 
     @F.arrow_udf("string")
