@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.catalog.lists import _quoted, _text, _write_lines
-from namesieve.catalog.matching import letter_frequencies
-from namesieve.catalog.tables import clauses, clauses_sql, norm_sql, read
+from namesieve.catalog.matching import _KEY_CTE, _sorted_sql, letter_frequencies
+from namesieve.catalog.tables import (
+    PART_TYPE_SQL,
+    clauses,
+    clauses_sql,
+    norm_sql,
+    part_entities,
+    part_names,
+    read,
+)
+from namesieve.functions.phonetics import phonetic_key
 from namesieve.plans.ingest import ingest, party_list, sheet_list, xml_list
 from namesieve.plans.screening import sync_vectors
+from namesieve.operators.index_store import IndexStore
 from namesieve.operators.reports import list_summary
+from namesieve.operators.vector_store import VectorStore
 from namesieve.sources.store import ListStore
 from namesieve.workspace import work_folder
 
@@ -164,13 +175,13 @@ def vector_sync_job(spark: SparkSession, sf: str) -> DataFrame:
 
     One row per stored component, with what the second run kept, dropped and encoded.
     """
-    store = ListStore(spark, work_folder(spark), "model")
+    store = VectorStore(spark, work_folder(spark))
     names = clauses(read(spark, sf, "benchmark"), "item_id").withColumnRenamed("name", "name_original")
     sync_vectors(names.filter("position <= 2"), store, "letters", letter_frequencies)
     second = sync_vectors(names.filter("position >= 1"), store, "letters", letter_frequencies)
-    rows = store.read("vectors").select("vector_key", "model", F.posexplode("vector").alias("component", "value"))
+    rows = store.read("letters").select("vector_key", F.posexplode("vector").alias("component", "value"))
     return rows.select(
-        "vector_key", "model", "component", F.round(F.col("value").cast("double"), 6).alias("value"),
+        "vector_key", F.lit("letters").alias("model"), "component", F.round(F.col("value").cast("double"), 6).alias("value"),
         F.lit(second.kept).alias("kept"), F.lit(second.dropped).alias("dropped"),
         F.lit(second.encoded).alias("encoded"),
     )
@@ -190,5 +201,56 @@ select sha256(form) as vector_key, 'letters' as model, i as component,
        (select count(*) from late where form not in (select form from early)) as encoded
 from normed"""
 
-QUERIES = {"ingest_lists": ingest_lists, "vector_sync_job": vector_sync_job}
-ORACLES = {"ingest_lists": INGEST_SQL, "vector_sync_job": VECTOR_JOB_SQL}
+
+
+def index_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Product names as a list in two versions: search rows after the second, read from base and segment.
+
+    The first list lacks every third product and all gears; the second lacks every
+    fifth, and the names of every seventh are marked as moved.
+    """
+    store = IndexStore(spark, work_folder(spark))
+    names, entities = part_names(spark, sf), part_entities(spark, sf)
+    store.refresh(names.filter("name_id % 3 <> 0 and name_original not like '%gear%'"), entities)
+    brand = F.when(F.col("name_id") % 7 == 0, "moved").otherwise(F.col("alias_quality"))
+    second = store.refresh(names.filter("name_id % 5 <> 0").withColumn("alias_quality", brand), entities)
+    index = store.open().index
+    members = index.forms.select(
+        F.lit("member").alias("kind"), "form", phonetic_key(F.element_at("codes", 1)).alias("value"),
+        F.inline("members"),
+    )
+    keys = index.keys.select(
+        F.lit("key").alias("kind"), F.col("name_key").alias("form"), F.col("first_id").cast("string").alias("value"),
+        F.inline("rows"),
+    )
+    rows = members.unionByName(keys.drop("name_form"))
+    return rows.select(
+        "kind", "form", "value", "name_id", "entity_id", "entity_type",
+        F.lit(second.coded).alias("recoded"), F.lit(second.added).alias("added"), F.lit(second.gone).alias("gone"),
+    )
+
+
+INDEX_DELTA_SQL = f"""
+with {_KEY_CTE},
+now as (select *, {PART_TYPE_SQL} as entity_type, {_sorted_sql("p_name")} as s from part where p_partkey % 5 <> 0),
+early as (select * from part where p_partkey % 3 <> 0 and p_name not like '%gear%'),
+stats as (
+  select (select count(distinct p_name) from now where p_name not in (select p_name from early)) as recoded,
+    (select count(*) from now where p_partkey not in (select p_partkey from early)
+       or p_partkey % 7 = 0 and p_brand is distinct from 'moved') as added,
+    (select count(*) from early where p_partkey % 5 = 0 or p_partkey % 7 = 0 and p_brand is distinct from 'moved')
+      as gone),
+members as (
+  select *, row_number() over (partition by p_name, entity_type order by p_partkey) as k from now),
+keyed as (
+  select *, row_number() over (partition by s order by p_partkey) as k, min(p_partkey) over (partition by s) as first
+  from now)
+select 'member' as kind, p_name as form, key as value, p_partkey as name_id, p_partkey as entity_id, entity_type,
+       recoded, added, gone
+from members join keys on form = p_name, stats where k <= 100
+union all
+select 'key', s, first::varchar, p_partkey, p_partkey, entity_type, recoded, added, gone
+from keyed, stats where k <= 64"""
+
+QUERIES = {"ingest_lists": ingest_lists, "vector_sync_job": vector_sync_job, "index_delta": index_delta}
+ORACLES = {"ingest_lists": INGEST_SQL, "vector_sync_job": VECTOR_JOB_SQL, "index_delta": INDEX_DELTA_SQL}

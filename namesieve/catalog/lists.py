@@ -686,18 +686,14 @@ def vector_store(spark: SparkSession, sf: str) -> DataFrame:
         F.col("embedding").alias("vector"),
     )
     write_vectors(vectors, f"{folder}/vectors")
-    return read_vectors(spark, f"{folder}/vectors", "current").select(
-        "vector_key",
-        "model",
-        F.size("vector").alias("dimensions"),
-        F.round(F.element_at("vector", 1).cast("double"), 6).alias("first_value"),
-    )
+    stored = read_vectors(spark, f"{folder}/vectors", "current")
+    rows = stored.select("vector_key", "model", F.posexplode("vector").alias("component", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 VECTOR_STORE_SQL = """
-select vec_id as vector_key, 'current' as model, len(embedding) as dimensions,
-       round(embedding[1]::double, 6) as first_value
-from embeddings where label < 5"""
+select vec_id as vector_key, 'current' as model, i as component, round(embedding[i + 1]::double, 6) as value
+from embeddings, unnest(range(len(embedding))) as r(i) where label < 5"""
 
 
 def case_json(spark: SparkSession, sf: str) -> DataFrame:

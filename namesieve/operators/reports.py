@@ -38,7 +38,11 @@ def entity_detail(entities: DataFrame, names: DataFrame, keys: DataFrame) -> Dat
 
     ``keys`` has (source_list, reference_number), the list in any case. Rows are
     range-sorted rather than collected, so an entity may have any number of names.
+    All columns of ``entities`` come along; a ``raw_record`` also parsed, as the
+    variant ``raw`` (null if it is no JSON).
     """
+    if "raw_record" in entities.columns:
+        entities = entities.withColumn("raw", F.try_parse_json("raw_record"))
     wanted = keys.select(F.upper("source_list").alias("source_list"), "reference_number").distinct()
     return (
         entities.join(wanted, ["source_list", "reference_number"], "left_semi")

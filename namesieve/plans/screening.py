@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,35 +24,30 @@ from namesieve.operators.screening import (
     screening_audit,
     validate_requests,
 )
+from namesieve.operators.index_store import IndexStore
+from namesieve.operators.vector_store import Encoder, VectorStore, VectorSync, snapshot_with_vectors
 from namesieve.operators.vectors import encode_forms, sync_plan, vector_key
 from namesieve.params import ScreeningParams
 from namesieve.sources.store import ListStore
 from namesieve.workspace import work_folder, written
 
-Encoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
-
-
-@dataclass(frozen=True)
-class VectorSync:
-    """Vectors (form, vector) of all names, and how many were kept, dropped and encoded."""
-
-    vectors: DataFrame
-    kept: int
-    dropped: int
-    encoded: int
-
-
-def sync_vectors(names: DataFrame, store: ListStore, model: str, encoder: Encoder) -> VectorSync:
+def sync_vectors(
+    names: DataFrame, store: VectorStore | ListStore, model: str, encoder: Encoder
+) -> VectorSync:
     """Bring the stored vectors of ``model`` in step with the names.
 
     Only forms without a stored vector are encoded; vectors that no name needs
-    and those of other models are dropped. ``store`` is partitioned by model.
+    are dropped. A ``VectorStore`` appends and strikes out, so a run writes in
+    proportion to what is new. A ``ListStore``, partitioned by model, rewrites
+    its table and drops the vectors of other models too.
     """
     spark = names.sparkSession
-    folder = work_folder(spark)
     form = normalise_name(F.col("name_original")).alias("form")
-    forms = names.select(form).filter("form <> ''").distinct().withColumn("vector_key", vector_key("form"))
-    forms = written(forms, f"{folder}/forms")
+    forms = names.select(form).filter("form <> ''").distinct()
+    if isinstance(store, VectorStore):
+        return store.sync(forms, model, encoder)
+    folder = work_folder(spark)
+    forms = written(forms.withColumn("vector_key", vector_key("form")), f"{folder}/forms")
     stored = store.read("vectors")
     if stored is None:
         stored = spark.createDataFrame([], "vector_key string, vector array<float>, model string")
@@ -86,9 +79,9 @@ class Screener:
     def open(
         names: DataFrame, entities: DataFrame, params: ScreeningParams | None = None,
         encoder: Encoder | None = None, path: str | None = None,
-        vector_store: ListStore | None = None, model: str = "default",
+        vector_store: VectorStore | ListStore | None = None, model: str = "default",
     ) -> Screener:
-        """``vector_store`` (partitioned by model) keeps vectors from one opening to the next."""
+        """Builds the search tables. ``vector_store`` keeps vectors from one opening to the next."""
         params = params or ScreeningParams()
         path = path or work_folder(names.sparkSession)
         vectors = None
@@ -101,6 +94,20 @@ class Screener:
         index = build_index(names, entities, f"{path}/index", params, vectors)
         return Screener(names, entities, index, params, encoder)
 
+    @staticmethod
+    def of_store(
+        store: IndexStore, encoder: Encoder | None = None, vector_store: VectorStore | None = None,
+        model: str = "default", version: int | None = None,
+    ) -> Screener:
+        """Opens search tables that are kept (``IndexStore.refresh``); nothing is built.
+
+        With an ``encoder``, only forms that ``vector_store`` lacks are encoded.
+        """
+        snapshot = store.open(version)
+        if encoder is not None:
+            snapshot = snapshot_with_vectors(snapshot, encoder, vector_store, model)
+        return Screener(snapshot.names, snapshot.entities, snapshot.index, store.params, encoder)
+
     def screen(self, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(matches with payload, audit rows, rejected requests)."""
         folder = work_folder(requests.sparkSession)

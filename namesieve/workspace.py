@@ -10,22 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 def work_folder(spark: SparkSession) -> str:
     """A new folder for one job, removed when the application ends.
 
-    It lies in ``spark.checkpoint.dir``; a session without that setting (tests)
-    uses its warehouse directory, which is as shared as its tables are. The
-    machine's temporary folder is never used.
+    It lies in ``spark.checkpoint.dir``. A session without that setting uses its
+    warehouse directory, which on a cluster must be a shared one: Spark's default
+    is a folder of the machine, and is refused there. The machine's temporary
+    folder is never used.
     """
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "")
-        if not warehouse:
+        one_machine = spark.sparkContext.master.split("[")[0] == "local"
+        if not warehouse or (not one_machine and warehouse.startswith(("file:", "/"))):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = f"{warehouse.rstrip('/')}/_work"
     folder = f"{shared.rstrip('/')}/namesieve-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    files, path = _file_system(spark, folder)
+    files.deleteOnExit(path)
     return folder
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a work folder before the application ends."""
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _file_system(spark, folder)
+    return files.exists(path)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write a table once and read it back: cuts lineage, survives lost executors."""
     df.write.mode("errorifexists").parquet(path)
