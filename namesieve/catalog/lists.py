@@ -734,7 +734,26 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def written_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as one text file per nation, with carriage returns, and the files' digests."""
+    folder = work_folder(spark)
+    lines = read(spark, sf, "customer").select(
+        "c_custkey", F.col("c_nationkey").alias("nation"), F.concat("c_name", F.lit("\r")).alias("value")
+    )
+    in_order = lines.repartition("nation").sortWithinPartitions("nation", "c_custkey").drop("c_custkey")
+    in_order.write.partitionBy("nation").text(f"{folder}/files")
+    nation = F.regexp_extract("path", r"nation=(\d+)/", 1).cast("int").alias("nation")
+    return file_fingerprints(spark, f"{folder}/files").select(nation, "length", "file_sha256")
+
+
+WRITTEN_FINGERPRINTS_SQL = """
+select c_nationkey::int as nation, sum(length(c_name) + 2)::bigint as length,
+       sha256(string_agg(c_name || chr(13) || chr(10), '' order by c_custkey)) as file_sha256
+from customer group by 1"""
+
+
 QUERIES = {
+    "written_fingerprints": written_fingerprints,
     "csv_party_scan": csv_party_scan,
     "csv_side_tables": csv_side_tables,
     "csv_encoding": csv_encoding,
@@ -757,6 +776,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "written_fingerprints": WRITTEN_FINGERPRINTS_SQL,
     "csv_party_scan": CSV_PARTY_SQL,
     "csv_side_tables": CSV_SIDE_SQL,
     "csv_encoding": CSV_ENCODING_SQL,

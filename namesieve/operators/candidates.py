@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from namesieve.functions.phonetics import phonetic_codes, phonetic_key
 from namesieve.functions.similarity import NameBlock
 from namesieve.functions.text import name_variants, normalise_name, sorted_tokens
+from namesieve.operators.segment_index import FINE_CUTOFF, settled_rows
 from namesieve.operators.vector_cells import (
     assigned,
     draw_pivots,
@@ -300,27 +301,37 @@ def fuzzy_rows(
     keys: DataFrame,
     params: ScreeningParams,
     name_block: int = NAME_BLOCK,
+    path: str | None = None,
 ) -> DataFrame:
     """Best name rows per query form by token-sort ratio, canonical forms only.
 
     ``query_forms`` has distinct (form); ``keys`` comes from ``token_keys``.
     Returns (query_form, token_sort_ratio, name_id, entity_id, entity_type, name_form).
+    Queries whose rows the segment index settles do not meet the list again.
     """
     starts = _length_thresholds(params.fuzzy_cutoff)
     keyed = query_forms.select(
         F.col("form").alias("query_form"), sorted_tokens(F.col("form")).alias("query_key")
     )
+    asked = keyed.select("query_key").distinct()
+    path = path or work_folder(keys.sparkSession)
+    settled = None
+    if params.fuzzy_cutoff <= FINE_CUTOFF:
+        settled = settled_rows(asked, keys, params.fuzzy_limit, path)
+    if settled is not None:
+        settled = written(settled, f"{path}/settled")
+        asked = asked.join(settled.select("query_key"), "query_key", "left_anti")
     own = _length_bucket("query_key", starts)
-    queries = (
-        keyed.select("query_key")
-        .distinct()
-        .select("query_key", F.explode(F.array(own - 1, own, own + 1)).alias("bucket"))
-    )
+    queries = asked.select("query_key", F.explode(F.array(own - 1, own, own + 1)).alias("bucket"))
     names = keys.select(
         "name_key", "first_id", _length_bucket("name_key", starts).alias("bucket")
     )
     kernel = _fuzzy_kernel(params.fuzzy_cutoff, params.fuzzy_limit)
     top = block_top(queries, names, kernel, params.fuzzy_limit, name_block)
+    if settled is not None:
+        order = [F.desc("score"), F.asc("first_id")]
+        best = top_rows(settled, ["query_key"], order, params.fuzzy_limit).drop("_rank")
+        top = top.unionByName(best)
     rows = _best_rows(top, keys, params.fuzzy_limit, "token_sort_ratio")
     return keyed.join(rows, "query_key").drop("query_key")
 

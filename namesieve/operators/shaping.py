@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namesieve.params import ENTITY_TYPES, NAME_TYPES
-from namesieve.sources.party_csv import PARTY_COLUMNS, stripped
+from namesieve.sources.party_csv import BLANKS, PARTY_COLUMNS, stripped
 from namesieve.sources.sheet_rows import SHEET_COLUMNS
 
 ENTITY_COLUMNS = (
@@ -73,12 +73,12 @@ def mapped_type(value: Column, allowed: tuple[str, ...], default: str) -> Column
 def birth_dates(remarks: Column) -> Column:
     """Every date-of-birth mention, joined by '; '."""
     found = F.regexp_extract_all(remarks, F.lit(r"(?i)DOB[:\s]+([^;]+)"), F.lit(1))
-    return F.nullif(F.array_join(F.transform(found, lambda d: F.trim(d)), "; "), F.lit(""))
+    return F.nullif(F.array_join(F.transform(found, lambda d: F.trim(d, F.lit(BLANKS))), "; "), F.lit(""))
 
 
 def first_nationality(remarks: Column) -> Column:
     found = F.regexp_extract(remarks, r"(?i)nationality[:\s]+([^;]+)", 1)
-    return F.nullif(F.trim(found), F.lit(""))
+    return stripped(found)
 
 
 def merged_remarks(parties: DataFrame, overflow: DataFrame) -> DataFrame:
@@ -299,7 +299,8 @@ def shape_sheet(rows: DataFrame, source_list: str = "DFAT") -> ParsedList:
         F.col("head.citizenship").alias("nationality"),
         F.col("head.date_of_birth").alias("date_of_birth"),
         F.col("head.control_date").alias("listed_date"),
-        raw_json({c: F.col(c) for c in ("rows_count", "rows_digest")}).alias("raw_record"),
+        # The head, because the digest of all rows does not tell which of them comes first.
+        raw_json({c: F.col(c) for c in ("head", "rows_count", "rows_digest")}).alias("raw_record"),
         "position",
     )
     names = keyed.select(

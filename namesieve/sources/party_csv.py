@@ -25,12 +25,12 @@ SENTINEL = "-0-"
 
 # Possessive, so that a field of any length needs no stack.
 _FIELD = r'(?:^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
-_BLANKS = " \t\r\n\f\v"
+BLANKS = " \t\r\n\f\v"
 
 
 def stripped(value: Column) -> Column:
     """Trim all blanks; an empty text becomes null."""
-    return F.nullif(F.trim(value, F.lit(_BLANKS)), F.lit(""))
+    return F.nullif(F.trim(value, F.lit(BLANKS)), F.lit(""))
 
 
 def cleaned(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.sources.party_csv import stripped
+from namesieve.sources.quoted_csv import read_csv
 
 # Output column and the header names it may have, best first.
 SHEET_COLUMNS = {
@@ -48,20 +49,13 @@ def sheet_rows(raw: DataFrame, position: str = "position") -> DataFrame:
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """An exported sheet: Parquet, or CSV with a header row.
 
-    Cells of a CSV file may hold line breaks, so one task reads a file; a large
-    sheet comes as Parquet or as several files.
+    Cells of a CSV file may hold line breaks; see ``quoted_csv``.
     """
-    if path.rstrip("/").endswith(".parquet"):
-        raw = spark.read.parquet(path)
-    else:
-        raw = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
-    return sheet_rows(
-        raw.withColumn(
-            "position",
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ),
-        )
+    if not path.rstrip("/").endswith(".parquet"):
+        return sheet_rows(read_csv(spark, path))
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return sheet_rows(spark.read.parquet(path).withColumn("position", place))

@@ -8,6 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namesieve.sources.fingerprints import file_fingerprints, list_fingerprint
+
+__all__ = [
+    "LOG_SCHEMA", "ListStore", "file_fingerprints", "list_fingerprint", "read_cases", "read_or_none", "read_vectors",
+    "write_cases", "write_vectors",
+]
+
 LOG_SCHEMA = """log_id bigint, run_at timestamp, source_list string, status string, source_url string,
 file_sha256 string, entities_inserted bigint, entities_updated bigint, names_total bigint,
 duration_ms bigint, message string"""
@@ -119,21 +126,3 @@ def read_cases(spark: SparkSession, path: str, single_document: bool = False) ->
         return spark.read.schema(CASE_SCHEMA).json(path)
     document = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
     return document.select(F.inline("cases"))
-
-
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file under a path, one file per row.
-
-    For list files: a digest needs the whole file, so Spark's limit of 2 GB per
-    binary file applies.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("file_sha256"))
-
-
-def list_fingerprint(spark: SparkSession, path: str) -> str | None:
-    """One digest of a list: its file's, or that of the sorted digests of all its files."""
-    files = file_fingerprints(spark, path)
-    single = F.when(F.count("*") == 1, F.max("file_sha256"))
-    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("file_sha256")), "\n"), 256)
-    return files.agg(F.coalesce(single, F.when(F.count("*") > 0, joined))).first()[0]

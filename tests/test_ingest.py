@@ -257,3 +257,18 @@ def test_value_moved_to_a_null_column_is_an_update(spark, tmp_path):
     assert all(r.last_updated_at > r.first_seen_at for r in entities.values())
     log = sorted((r.log_id, r.entities_inserted, r.entities_updated) for r in store.read_log().collect())
     assert [x[1:] for x in log] == [(1, 0), (1, 0), (0, 1), (0, 1)]
+
+
+def test_swapped_sheet_rows_are_an_update(spark, tmp_path):
+    """Without a primary name the first row of a group gives the entity its fields."""
+    store = ListStore(spark, str(tmp_path / "store"))
+    head = "Name,Reference,Name Type,Citizenship\n"
+    rows = ["Rosa Quist,70,aka,Freedonia\n", "Rosalind Quist,70,aka,Sylvania\n"]
+    for number, order in enumerate((rows, rows[::-1], rows[::-1])):
+        path = tmp_path / f"sheet-{number}.csv"
+        path.write_text(head + "".join(order))
+        assert ingest(store, {"DFAT": lambda: sheet_list(spark, str(path))})
+    (entity,) = store.read("entities").collect()
+    assert (entity.primary_name, entity.nationality) == ("Rosalind Quist", "Sylvania")
+    log = sorted((r.log_id, r.entities_inserted, r.entities_updated) for r in store.read_log().collect())
+    assert [x[1:] for x in log] == [(1, 0), (0, 1), (0, 0)]
