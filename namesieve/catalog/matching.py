@@ -21,7 +21,7 @@ from namesieve.catalog.tables import (
     read,
     strip_sql,
 )
-from namesieve.functions.phonetics import phonetic_codes, phonetic_key
+from namesieve.functions.phonetics import phonetic_codes
 from namesieve.functions.scoring import combined_score, layers_fired, phonetic_score, rounded
 from namesieve.functions.similarity import fuzzy_udf
 from namesieve.functions.text import name_variants, normalise_name
@@ -37,6 +37,7 @@ from namesieve.operators.candidates import (
     vector_rows,
 )
 from namesieve.operators.index import build_index
+from namesieve.operators.normalising import phonetic_keys as keys_of_forms
 from namesieve.operators.normalising import unique_normalised
 from namesieve.operators.screening import (
     match_payload,
@@ -169,9 +170,8 @@ from c"""
 
 def phonetic_keys(spark: SparkSession, sf: str) -> DataFrame:
     part = read(spark, sf, "part")
-    forms = part.select("p_partkey", F.array(normalise_name(F.col("p_name"))).alias("forms"))
-    codes = forms.select("p_partkey", F.explode(phonetic_codes("forms")).alias("codes"))
-    return codes.select("p_partkey", phonetic_key("codes").alias("metaphone_key"))
+    forms = part.select("p_partkey", normalise_name(F.col("p_name")).alias("form"))
+    return keys_of_forms(forms, "form").drop("form")
 
 
 _KEY_CTE = f"""

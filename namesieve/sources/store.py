@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.sources.fingerprints import file_fingerprints, list_fingerprint
+from namesieve.workspace import create_file
 
 __all__ = [
     "LOG_SCHEMA", "ListStore", "file_fingerprints", "list_fingerprint", "read_cases", "read_or_none", "read_vectors",
@@ -75,10 +76,16 @@ class ListStore:
         rows.write.mode("append").parquet(f"{self.root}/{log}")
 
     def append_run(self, rows: DataFrame) -> int:
-        """Append the log rows of one run under the next ``log_id``."""
-        last = self.read_log().agg(F.max("log_id")).first()[0] or 0
-        self.append_log(rows.withColumn("log_id", F.lit(last + 1).cast("bigint")))
-        return last + 1
+        """Append the log rows of one run under the next ``log_id``.
+
+        The number is claimed by creating a file of that name, so runs that meet
+        take different ones.
+        """
+        number = (self.read_log().agg(F.max("log_id")).first()[0] or 0) + 1
+        while not create_file(self.spark, f"{self.root}/run_numbers/{number}"):
+            number += 1
+        self.append_log(rows.withColumn("log_id", F.lit(number).cast("bigint")))
+        return number
 
     def read_log(self, log: str = "ingestion_log", schema: str = LOG_SCHEMA) -> DataFrame:
         found = read_or_none(self.spark, f"{self.root}/{log}")

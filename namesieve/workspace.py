@@ -39,6 +39,13 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if there is one already."""
+    files, target = _file_system(spark, path)
+    files.mkdirs(target.getParent())
+    return files.createNewFile(target)
+
+
 def exists(spark: SparkSession, folder: str) -> bool:
     files, path = _file_system(spark, folder)
     return files.exists(path)

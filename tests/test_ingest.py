@@ -8,6 +8,7 @@ from namesieve.operators.sync import colliding_ids
 from namesieve.plans.ingest import ingest, party_list, sheet_list, xml_list
 from namesieve.sources.party_csv import read_lines, scan_aliases, scan_parties
 from namesieve.sources.store import ListStore, file_fingerprints, read_cases
+from namesieve.workspace import create_file
 
 
 @pytest.fixture(scope="module")
@@ -272,3 +273,11 @@ def test_swapped_sheet_rows_are_an_update(spark, tmp_path):
     assert (entity.primary_name, entity.nationality) == ("Rosalind Quist", "Sylvania")
     log = sorted((r.log_id, r.entities_inserted, r.entities_updated) for r in store.read_log().collect())
     assert [x[1:] for x in log] == [(1, 0), (0, 1), (0, 0)]
+
+
+def test_a_claimed_run_number_is_not_taken_again(spark, tmp_path):
+    store = ListStore(spark, str(tmp_path / "store"))
+    row = spark.createDataFrame([("UN", "failed")], "source_list string, status string")
+    assert create_file(spark, f"{store.root}/run_numbers/1")  # by a run that has not logged its rows yet
+    assert store.append_run(row) == 2 and store.append_run(row) == 3
+    assert sorted(r.log_id for r in store.read_log().collect()) == [2, 3]

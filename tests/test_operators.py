@@ -4,8 +4,10 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from namesieve.functions.phonetics import token_code
 from namesieve.operators.evaluation import exact_percentiles, nicknamed, transliterated
 from namesieve.operators.index import NameIndex
+from namesieve.operators.normalising import phonetic_keys
 from namesieve.operators.reports import entity_detail
 from namesieve.operators.shaping import side_rows, side_summary
 from namesieve.operators.sync import duplicate_keys, last_per_key, name_changes
@@ -85,3 +87,10 @@ def test_batch_and_name_set_rules(spark):
                                  ("L", "1", "aka", "B", "Good")], schema)
     changes = {r.name_original: r.change for r in name_changes(old, new).collect()}
     assert changes == {"A": "kept", "B": "requalified", "D": "added"}
+
+
+def test_phonetic_keys_of_distinct_tokens(spark):
+    rows = spark.createDataFrame([(1, "ali hassan"), (2, "hassan ali"), (3, "hassan hassan"), (4, "42 ali")], "id int, form string")
+    got = {r.id: r.metaphone_key for r in phonetic_keys(rows, "form").collect()}
+    want = {r.id: " ".join(sorted(token_code(t) for t in r.form.split())) for r in rows.collect()}
+    assert got == want and got[1] == got[2] != got[3]

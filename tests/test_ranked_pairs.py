@@ -32,8 +32,7 @@ def world(spark, tmp_path_factory):
     return names, entities, vectors, queries, path
 
 
-@pytest.mark.parametrize("with_vectors", [False, True])
-@pytest.mark.parametrize("bound", [3, 10])
+@pytest.mark.parametrize("with_vectors, bound", [(False, 3), (True, 10)])
 def test_listed_entities_are_those_of_all_pairs(spark, world, with_vectors, bound):
     names, entities, vectors, queries, path = world
     params = ScreeningParams(max_results_bound=bound)
