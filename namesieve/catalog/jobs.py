@@ -22,7 +22,7 @@ from namesieve.plans.screening import sync_vectors
 from namesieve.operators.index_store import IndexStore
 from namesieve.operators.reports import list_summary
 from namesieve.operators.vector_store import VectorStore
-from namesieve.sources.store import ListStore
+from namesieve.sources.buckets import BucketStore
 from namesieve.workspace import work_folder
 
 
@@ -73,9 +73,9 @@ def _list_files(spark: SparkSession, sf: str, folder: str, run: int) -> dict[str
     return {"OFAC": parties, "UN": groups, "DFAT": sheet}
 
 
-def _two_runs(spark: SparkSession, sf: str) -> ListStore:
+def _two_runs(spark: SparkSession, sf: str) -> BucketStore:
     folder = work_folder(spark)
-    store = ListStore(spark, f"{folder}/store")
+    store = BucketStore(spark, f"{folder}/store", buckets=8)
     for run in (1, 2):
         files = _list_files(spark, sf, folder, run)
         lists = {

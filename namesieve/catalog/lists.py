@@ -34,6 +34,7 @@ from namesieve.operators.sync import (
     run_statistics,
     without_orphans,
 )
+from namesieve.sources.buckets import BucketStore
 from namesieve.sources.list_xml import read_entities, read_individuals
 from namesieve.sources.party_csv import (
     read_lines,
@@ -546,17 +547,20 @@ UPSERT_CLASSIFY_SQL = f"with {_CHANGE_SQL} select source_list, reference_number,
 
 
 def upsert_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """Two committed versions; the second is read back."""
+    """Two versions of a bucketed store; the second rewrites the buckets of changed rows and is read back."""
     old, new = _snapshots(spark, sf)
-    store = ListStore(spark, work_folder(spark))
+    store = BucketStore(spark, work_folder(spark), buckets=16)
     first = F.lit("2024-01-01 00:00:00").cast("timestamp")
     second = F.lit("2025-01-01 00:00:00").cast("timestamp")
     before = old.withColumn("first_seen_at", first).withColumn("last_updated_at", first)
-    store.commit({"entities": before}, [r[0] for r in before.select("source_list").distinct().collect()])
-    batch = last_per_key(new, ENTITY_KEY)
-    lists = [r[0] for r in batch.select("source_list").distinct().collect()]
-    current = store.read("entities", lists)
-    store.commit({"entities": apply_upsert(current, batch, second)}, lists)
+    store.commit({"entities": store.placed(before)}, range(store.buckets), 0)
+    batch = store.placed(last_per_key(new, ENTITY_KEY))
+    current = store.read("entities")
+    changed = classify(current, batch).filter("change in ('inserted', 'updated')")
+    touched = [r[0] for r in changed.select(store.bucket()).distinct().collect()]
+    held = F.col("bucket").isin(touched)
+    following = apply_upsert(current.filter(held), batch.filter(store.bucket().isin(touched)), second)
+    store.commit({"entities": following}, touched, 1)
     return store.read("entities").select(
         "source_list", "reference_number", "primary_name", "nationality", "raw_record",
         F.year("first_seen_at").alias("first_seen"), F.year("last_updated_at").alias("last_updated"),

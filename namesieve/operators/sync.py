@@ -98,6 +98,40 @@ def name_changes(old: DataFrame, new: DataFrame, keys: list[str] = NAME_KEY) ->
     return before.join(after, keys, "full").select(*keys, change.alias("change"))
 
 
+def name_digests(names: DataFrame, keys: list[str] = ENTITY_KEY) -> DataFrame:
+    """(keys, name_count, name_digest): an entity's names as one value, whatever their order.
+
+    It combines before a shuffle, and needs none where rows of a key lie together.
+    """
+    row = F.to_json(F.struct("name_type", "name_original", "alias_quality"), {"ignoreNullFields": "false"})
+    digest = F.sum(F.xxhash64(row).cast("decimal(38,0)"))
+    return names.groupBy(*keys).agg(F.count("*").alias("name_count"), digest.alias("name_digest"))
+
+
+def batch_changes(
+    old: DataFrame, old_names: DataFrame, new: DataFrame, new_names: DataFrame, keys: list[str] = ENTITY_KEY
+) -> DataFrame:
+    """Per key of the batch: inserted, updated or unchanged, and whether its names are others than before.
+
+    Stored rows meet the batch by their key only, so buckets of it are joined as they lie.
+    """
+    before = old.select(*keys, F.col("raw_record").alias("_old"))
+    after = new.select(*keys, F.col("raw_record").alias("_new"))
+    named = [name_digests(rows, keys).select(*keys, F.struct("name_count", "name_digest").alias(side))
+             for rows, side in ((old_names, "_had"), (new_names, "_has"))]
+    joined = after.join(before, keys, "left")
+    for side in named:
+        joined = joined.join(side, keys, "left")
+    change = (
+        F.when(F.col("_old").isNull(), "inserted")
+        .when(F.col("_old") == F.col("_new"), "unchanged")
+        .otherwise("updated")
+    )
+    return joined.select(
+        *keys, change.alias("change"), (~F.col("_had").eqNullSafe(F.col("_has"))).alias("names_changed")
+    )
+
+
 def next_names(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """The next version of the name table.
 

@@ -25,6 +25,7 @@ from namesieve.operators.sync import (
     NAME_KEY,
     RunOutcome,
     apply_upsert,
+    batch_changes,
     classify,
     colliding_ids,
     distinct_names,
@@ -36,7 +37,9 @@ from namesieve.operators.sync import (
     run_statistics,
     without_orphans,
 )
+from namesieve.functions.text import normalise_name
 from namesieve.params import ENTITY_TYPES, NAME_TYPES
+from namesieve.sources.buckets import BucketStore
 from namesieve.sources.list_xml import read_entities, read_individuals
 from namesieve.sources.party_csv import (
     read_lines,
@@ -83,7 +86,7 @@ def sheet_list(spark: SparkSession, path: str) -> ParsedList:
     return shape_sheet(read_sheet(spark, path))
 
 
-def require_own_ids(store: ListStore, entities: DataFrame, names: DataFrame, lists: list[str]) -> None:
+def require_own_ids(store: ListStore | BucketStore, entities: DataFrame, names: DataFrame, lists: list[str]) -> None:
     """Fail if an id would stand for two keys. Of other lists only ids and keys are read."""
     for table, rows, column, keys in (
         ("entities", entities.select(*ENTITY_KEY, entity_id().alias("entity_id")), "entity_id", ENTITY_KEY),
@@ -97,15 +100,11 @@ def require_own_ids(store: ListStore, entities: DataFrame, names: DataFrame, lis
             raise ValueError(f"{column} {clash[0]} stands for {clash['first']} and {clash['last']}")
 
 
-def upsert_list(
-    store: ListStore, parsed: ParsedList
-) -> tuple[dict[str, DataFrame], DataFrame, list[str]]:
-    """(next tables, run statistics, names of the lists in it) for one parsed list.
+def prepared_batch(parsed: ParsedList, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(entities, names, names of the lists) of one parsed list, written.
 
-    Only the stored rows of these lists are read and written anew. Of rows that
-    repeat a key the last counts, and so do the names that came with it.
+    Of rows that repeat a key the last counts, and so do the names that came with it.
     """
-    folder = work_folder(store.spark)
     rows = parsed.entities.select(*ENTITY_COLUMNS, F.col("position").alias("last_entry"))
     batch = last_per_key(rows, ENTITY_KEY)
     batch = written(require_domain(batch, "entity_type", ENTITY_TYPES), f"{folder}/entities")
@@ -113,13 +112,29 @@ def upsert_list(
     names = require_domain(parsed.names, "name_type", NAME_TYPES)
     names = names.join(batch.select(*ENTITY_KEY, "last_entry"), ENTITY_KEY)
     names = names.filter(F.col("entry").isNull() | (F.col("entry") == F.col("last_entry")))
-    names = written(distinct_names(names), f"{folder}/names")
+    return batch, written(distinct_names(names), f"{folder}/names"), lists
+
+
+def no_entities(batch: DataFrame) -> DataFrame:
+    """The entity table before the first ingest."""
+    now = F.current_timestamp()
+    empty = batch.limit(0).select(*ENTITY_KEY, *ENTITY_FIELDS)
+    return empty.withColumns({"first_seen_at": now, "last_updated_at": now})
+
+
+def upsert_list(
+    store: ListStore, parsed: ParsedList
+) -> tuple[dict[str, DataFrame], DataFrame, list[str]]:
+    """(next tables, run statistics, names of the lists in it) for one parsed list.
+
+    Only the stored rows of these lists are read and written anew.
+    """
+    folder = work_folder(store.spark)
+    batch, names, lists = prepared_batch(parsed, folder)
     require_own_ids(store, batch, names, lists)
     now = F.current_timestamp()
     old_entities, old_names = store.read("entities", lists), store.read("names", lists)
-    if old_entities is None:
-        empty = batch.limit(0).select(*ENTITY_KEY, *ENTITY_FIELDS)
-        old_entities = empty.withColumns({"first_seen_at": now, "last_updated_at": now})
+    old_entities = no_entities(batch) if old_entities is None else old_entities
     changes = written(classify(old_entities, batch), f"{folder}/changes")
     entities = apply_upsert(old_entities, batch, now).withColumn("entity_id", entity_id())
     kept = without_orphans(next_names(old_names, names), entities)
@@ -134,8 +149,59 @@ def upsert_list(
     return tables, statistics, lists
 
 
+def upsert_buckets(store: BucketStore, parsed: ParsedList) -> DataFrame:
+    """Bring one parsed list into a bucketed store; the run statistics.
+
+    First the batch alone is shuffled, to the buckets of the stored keys: an
+    entity whose record or names are not as stored marks its bucket. Then only
+    marked buckets are read whole and written anew, with every row that their
+    next version has; the number of a bucket is all that reaches the driver.
+    A batch that changes nothing writes no table.
+    """
+    folder = work_folder(store.spark)
+    batch, names, lists = prepared_batch(parsed, folder)
+    require_own_ids(store, batch, names, lists)
+    since = store.version()
+    old, old_names = store.read("entities", version=since), store.read("names", version=since)
+    first = old is None
+    old = no_entities(batch) if first else old
+    matchable = names.filter(normalise_name(F.col("name_original")) != "")
+    had = matchable.limit(0) if old_names is None else old_names
+    changes = batch_changes(old, had, batch, matchable).withColumn("bucket", store.bucket())
+    changes = written(changes, f"{folder}/changes")
+    marked = changes.filter((F.col("change") != "unchanged") | F.col("names_changed"))
+    touched = sorted(r[0] for r in marked.select("bucket").distinct().collect())
+
+    def of_touched(rows: DataFrame) -> DataFrame:
+        return store.placed(rows.filter(store.bucket().isin(touched)))
+
+    def beside(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
+        """Stored rows of entities outside the batch, and the batch's rows."""
+        if stored is None:
+            return rows
+        kept = stored.filter(F.col("bucket").isin(touched)).join(new.select(*ENTITY_KEY), ENTITY_KEY, "left_anti")
+        return kept.select(*rows.columns).unionByName(rows)
+
+    new = of_touched(batch)
+    before = old if first else old.filter(F.col("bucket").isin(touched))
+    entities = apply_upsert(before, new, F.current_timestamp()).withColumn("entity_id", entity_id())
+    tables = {
+        "entities": store.placed(entities) if first else entities,
+        "names": beside(old_names, next_names(None, of_touched(matchable))),
+    }
+    old_rows = store.read("raw_rows", version=since)
+    raw_rows = parsed.raw_rows
+    if raw_rows is None and old_rows is not None:
+        raw_rows = old_rows.drop("bucket").limit(0)
+    if raw_rows is not None:
+        tables["raw_rows"] = beside(old_rows, of_touched(raw_rows))
+    statistics = run_statistics(changes, names)
+    store.commit(tables, touched, since)
+    return statistics
+
+
 def ingest(
-    store: ListStore,
+    store: ListStore | BucketStore,
     lists: dict[str, Callable[[], ParsedList]],
     paths: dict[str, str] | None = None,
     from_cache: frozenset[str] = frozenset(),
@@ -149,9 +215,12 @@ def ingest(
     for name, parse in lists.items():
         started = time.monotonic()
         try:
-            tables, statistics, in_batch = upsert_list(store, parse())
             digest = list_fingerprint(spark, paths[name]) if name in paths else None
-            store.commit(tables, in_batch)
+            if isinstance(store, BucketStore):
+                statistics = upsert_buckets(store, parse())
+            else:
+                tables, statistics, in_batch = upsert_list(store, parse())
+                store.commit(tables, in_batch)
             outcome = RunOutcome(
                 "fallback_cache" if name in from_cache else "success",
                 paths.get(name),

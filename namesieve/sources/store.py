@@ -22,7 +22,34 @@ duration_ms bigint, message string"""
 
 
 @dataclass(frozen=True)
-class ListStore:
+class RunLogs:
+    """Append-only logs under a store's folder."""
+
+    spark: SparkSession
+    root: str
+
+    def append_log(self, rows: DataFrame, log: str = "ingestion_log") -> None:
+        rows.write.mode("append").parquet(f"{self.root}/{log}")
+
+    def append_run(self, rows: DataFrame) -> int:
+        """Append the log rows of one run under the next ``log_id``.
+
+        The number is claimed by creating a file of that name, so runs that meet
+        take different ones.
+        """
+        number = (self.read_log().agg(F.max("log_id")).first()[0] or 0) + 1
+        while not create_file(self.spark, f"{self.root}/run_numbers/{number}"):
+            number += 1
+        self.append_log(rows.withColumn("log_id", F.lit(number).cast("bigint")))
+        return number
+
+    def read_log(self, log: str = "ingestion_log", schema: str = LOG_SCHEMA) -> DataFrame:
+        found = read_or_none(self.spark, f"{self.root}/{log}")
+        return self.spark.createDataFrame([], schema) if found is None else found
+
+
+@dataclass(frozen=True)
+class ListStore(RunLogs):
     """A folder with numbered versions of tables, and a log of the current one of every list.
 
     A list is a value of ``partition_by``. A version holds some lists and is
@@ -32,8 +59,6 @@ class ListStore:
     writers that meet take the same number, and the later one fails.
     """
 
-    spark: SparkSession
-    root: str
     partition_by: str = "source_list"
 
     def versions(self) -> dict[str, int]:
@@ -72,25 +97,6 @@ class ListStore:
                 found = part if found is None else found.unionByName(part)
         return found
 
-    def append_log(self, rows: DataFrame, log: str = "ingestion_log") -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{log}")
-
-    def append_run(self, rows: DataFrame) -> int:
-        """Append the log rows of one run under the next ``log_id``.
-
-        The number is claimed by creating a file of that name, so runs that meet
-        take different ones.
-        """
-        number = (self.read_log().agg(F.max("log_id")).first()[0] or 0) + 1
-        while not create_file(self.spark, f"{self.root}/run_numbers/{number}"):
-            number += 1
-        self.append_log(rows.withColumn("log_id", F.lit(number).cast("bigint")))
-        return number
-
-    def read_log(self, log: str = "ingestion_log", schema: str = LOG_SCHEMA) -> DataFrame:
-        found = read_or_none(self.spark, f"{self.root}/{log}")
-        return self.spark.createDataFrame([], schema) if found is None else found
-
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """A table, or None where there is none or it was written without rows."""
