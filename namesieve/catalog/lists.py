@@ -53,7 +53,7 @@ from namesieve.sources.store import (
     write_cases,
     write_vectors,
 )
-from namesieve.workspace import work_folder
+from namesieve.workspace import work_folder, written
 
 
 def _quoted(*fields: Column) -> Column:
@@ -549,12 +549,13 @@ UPSERT_CLASSIFY_SQL = f"with {_CHANGE_SQL} select source_list, reference_number,
 def upsert_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Two versions of a bucketed store; the second rewrites the buckets of changed rows and is read back."""
     old, new = _snapshots(spark, sf)
-    store = BucketStore(spark, work_folder(spark), buckets=16)
+    folder = work_folder(spark)
+    store = BucketStore(spark, f"{folder}/store", buckets=8)
     first = F.lit("2024-01-01 00:00:00").cast("timestamp")
     second = F.lit("2025-01-01 00:00:00").cast("timestamp")
     before = old.withColumn("first_seen_at", first).withColumn("last_updated_at", first)
     store.commit({"entities": store.placed(before)}, range(store.buckets), 0)
-    batch = store.placed(last_per_key(new, ENTITY_KEY))
+    batch = written(last_per_key(new, ENTITY_KEY), f"{folder}/batch")
     current = store.read("entities")
     changed = classify(current, batch).filter("change in ('inserted', 'updated')")
     touched = [r[0] for r in changed.select(store.bucket()).distinct().collect()]

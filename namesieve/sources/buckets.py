@@ -13,16 +13,19 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from namesieve.sources.store import RunLogs, read_or_none
+from namesieve.sources.store import RunLogs
 from namesieve.workspace import exists
 
 #: Buckets of a new store: tasks of its joins, and the share of a table that one changed row rewrites.
 BUCKETS = 64
 
+BUCKET_LOG = "table string, bucket int, folder string, schema string, buckets int"
+
 
 @dataclass(frozen=True)
 class BucketStore(RunLogs):
@@ -43,38 +46,39 @@ class BucketStore(RunLogs):
         """Rows shuffled as the stored ones lie."""
         return rows.repartition(self.buckets, *self.keys)
 
-    def _log(self) -> DataFrame | None:
-        return read_or_none(self.spark, f"{self.root}/bucket_log")
+    def _log(self) -> DataFrame:
+        kinds = f"{BUCKET_LOG}, version int"
+        try:
+            return self.spark.read.schema(kinds).parquet(f"{self.root}/bucket_log")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], kinds)
 
     def version(self) -> int:
-        log = self._log()
-        return 0 if log is None else log.agg(F.max("version")).first()[0]
-
-    def manifest(self, table: str, version: int | None = None) -> tuple[dict[int, str], str]:
-        """(folder of each bucket, schema) of a table's version; one small row for each bucket."""
-        log = self._log()
-        if log is None:
-            return {}, ""
-        log = log.filter(F.col("table") == table)
+        return self._log().agg(F.max("version")).first()[0] or 0
+
+    def manifest(self, table: str, version: int | None = None) -> tuple[dict[int, str], str, int]:
+        """(folder of each bucket, schema, version that last changed it); one small row for each bucket."""
+        log = self._log().filter(F.col("table") == table)
         if version is not None:
             log = log.filter(F.col("version") <= version)
-        newest = F.max_by(F.struct("folder", "schema", "buckets", "version"), F.col("version"))
+        newest = F.max_by(F.struct("version", "folder", "schema", "buckets"), F.col("version"))
         rows = log.groupBy("bucket").agg(newest.alias("at")).collect()
         if any(r.at["buckets"] != self.buckets for r in rows):
             raise ValueError(f"{self.root} has {rows[0].at['buckets']} buckets")
-        schema = max(((r.at["version"], r.at["schema"]) for r in rows), default=(0, ""))[1]
-        return {r["bucket"]: r.at["folder"] for r in rows}, schema
+        last, schema = max(((r.at["version"], r.at["schema"]) for r in rows), default=(0, ""))
+        return {r["bucket"]: r.at["folder"] for r in rows}, schema, last
 
     def _prefix(self) -> str:
         return f"namesieve_{uuid.uuid5(uuid.NAMESPACE_URL, self.root).hex}"
 
     def read(self, table: str, lists: list[str] | None = None, version: int | None = None) -> DataFrame | None:
         """A table's rows, of all lists or of some; with the column ``bucket``, whose filters prune folders."""
-        version = self.version() if version is None else version
-        folders, schema = self.manifest(table, version)
+        folders, schema, last = self.manifest(table, version)
         if not folders:
             return None
-        name, keys = f"{self._prefix()}_{table}_{version}", ", ".join(self.keys)
+        name, keys = f"{self._prefix()}_{table}_{last}", ", ".join(self.keys)
         if not self.spark.catalog.tableExists(name):
             fields = StructType.fromDDL(schema).fields
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -110,13 +114,13 @@ class BucketStore(RunLogs):
         entry = f"{self.root}/bucket_log/version={number}"
         if exists(self.spark, f"{entry}/_SUCCESS"):
             raise RuntimeError(f"version {number} of {self.root} was written meanwhile")
-        kinds = "table string, bucket int, folder string, schema string, buckets int"
-        self.spark.createDataFrame(entries, kinds).coalesce(1).write.mode("overwrite").parquet(entry)
+        self.spark.createDataFrame(entries, BUCKET_LOG).coalesce(1).write.mode("overwrite").parquet(entry)
         return number
 
     def forget(self) -> None:
         """Drop the catalog's names of all versions but the current one; no file is removed."""
-        current = f"_{self.version()}"
+        last = self._log().groupBy("table").agg(F.max("version")).collect()
+        current = {f"{self._prefix()}_{table}_{version}".lower() for table, version in last}
         for (name,) in self.spark.sql(f"show tables like '{self._prefix()}*'").select("tableName").collect():
-            if not name.endswith(current):
+            if name not in current:
                 self.spark.sql(f"drop table {name}")

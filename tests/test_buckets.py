@@ -17,7 +17,7 @@ def plan_of(df):
 
 def files_of(store, table):
     """{bucket: names of its data files} of the current version."""
-    folders, _ = store.manifest(table)
+    folders = store.manifest(table)[0]
     listed = {b: os.listdir(f) if os.path.isdir(f) else [] for b, f in folders.items()}
     return {b: sorted(n for n in names if n.startswith("part-")) for b, names in listed.items()}
 
