@@ -118,7 +118,7 @@ class Screener:
             forms = valid.select(F.col("query_form").alias("form")).distinct()
             vectors = written(encode_forms(forms, self.encoder), f"{folder}/query_vectors")
         matches = screen(valid, self.index, self.params, vectors, path=folder)
-        payload = written(match_payload(matches, self.names, self.entities), f"{folder}/matches")
+        payload = written(match_payload(matches, self.names, self.entities, folder), f"{folder}/matches")
         return payload, screening_audit(valid, payload), rejected
 
 

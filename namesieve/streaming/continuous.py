@@ -54,7 +54,7 @@ def screen_batch(
         forms = valid.select(F.col("query_form").alias("form")).distinct()
         vectors = written(encode_forms(forms, encoder), f"{folder}/query_vectors")
     matches = screen(valid, snapshot.index, params, vectors, path=folder, **screening)
-    payload = match_payload(matches, snapshot.names, snapshot.entities)
+    payload = match_payload(matches, snapshot.names, snapshot.entities, folder)
     for name, df in {"matches": payload, "rejected": rejected}.items():
         df.write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
     answers = spark.read.schema(payload.schema).parquet(f"{output}/matches/batch={number}")
