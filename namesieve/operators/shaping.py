@@ -40,11 +40,14 @@ def side_summary(rows: DataFrame, key: str, fields: list[str], output: str) -> D
 
     Each row is hashed as JSON: ``xxhash64`` of columns skips nulls, so a value moved
     to a neighbouring null column would leave it as it was."""
+    return rows.groupBy(key).agg(*side_totals(fields, output))
+
+
+def side_totals(fields: list[str], output: str) -> tuple[Column, Column]:
+    """The two aggregates of ``side_summary``."""
     row = raw_json({f: F.col(f) for f in fields})
     digest = F.sum(F.xxhash64(row).cast("decimal(38,0)")).cast("string")
-    return rows.groupBy(key).agg(
-        F.count("*").alias(f"{output}_count"), digest.alias(f"{output}_digest")
-    )
+    return F.count("*").alias(f"{output}_count"), digest.alias(f"{output}_digest")
 
 
 def side_rows(rows: DataFrame, key: str, fields: list[str], kind: str, source_list: str) -> DataFrame:
@@ -285,13 +288,14 @@ def shape_sheet(rows: DataFrame, source_list: str = "DFAT") -> ParsedList:
     keyed = rows.withColumn("reference_number", group_key(F.col("reference")))
     is_primary = F.coalesce(F.lower("name_type") == "primary name", F.lit(False))
     head = F.struct("name", "type", "citizenship", "date_of_birth", "control_date")
-    primary = keyed.groupBy("reference_number").agg(
+    fields = sorted(SHEET_COLUMNS)
+    # The head and the summary of a key in one pass over the rows.
+    grouped = keyed.filter(F.col("reference_number").isNotNull()).groupBy("reference_number").agg(
         F.min_by(head, F.struct(~is_primary, F.col("position"))).alias("head"),
         F.min("position").alias("position"),
+        *side_totals(fields, "rows"),
     )
-    fields = sorted(SHEET_COLUMNS)
-    summary = side_summary(keyed, "reference_number", fields, "rows")
-    entities = primary.join(summary, "reference_number").select(
+    entities = grouped.select(
         F.lit(source_list).alias("source_list"),
         "reference_number",
         F.col("head.name").alias("primary_name"),
