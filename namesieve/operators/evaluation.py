@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namesieve.functions.text import normalise_name
-from namesieve.operators.candidates import top_rows
+from namesieve.operators.candidates import meeting, top_rows
+from namesieve.workspace import work_folder, written
 
 # Cases wanted per perturbation.
 QUOTAS = {
@@ -20,6 +21,8 @@ QUOTAS = {
     "dropped_middle": 30, "nickname": 20, "spacing_hyphen": 40,
 }
 NEGATIVE_QUOTA = 100
+#: Seeds that are perturbed first, the first ones in order of the cases.
+FIRST_SEEDS = 4096
 
 # Spelling variants of one romanised sound or name.
 TRANSLITERATIONS = (
@@ -241,22 +244,42 @@ def evaluation_cases(
     seed: str = "seed",
     quotas: dict[str, int] | None = None,
     kinds: Sequence[str] = tuple(PERTURBATIONS),
+    first_seeds: int = FIRST_SEEDS,
 ) -> DataFrame:
     """Positive cases up to each perturbation's quota, numbered.
 
     Cases that normalise back to a name of their own entity are dropped.
-    Entities take part in an order fixed by a hash of their key.
+    Entities take part in an order fixed by a hash of their key. The first
+    ``first_seeds`` in it are perturbed first; perturbations whose quota they do
+    not fill are made of all seeds.
     """
     quotas = quotas or QUOTAS
     key = ["source_list", "reference_number"]
     order = [F.col("_order"), F.col("reference_number"), F.col("source_list")]
-    cases = perturbed(seeds, kinds, seed).withColumn("name_normalised", normalise_name(F.col("query")))
-    fresh = cases.join(forms, [*key, "name_normalised"], "left_anti")
-    ordered = fresh.withColumn("_order", F.md5(F.concat_ws("/", *key)))
-    limits = [quotas[kind] for kind in kinds]
-    quota = F.element_at(F.array(*(F.lit(n) for n in limits)), F.col("kind") + 1)
-    # The constant limit is what lets every task cut its own rows before the shuffle.
-    found = top_rows(ordered, ["kind"], order, max(limits)).filter(F.col("_rank") <= quota)
+    folder = work_folder(seeds.sparkSession)
+    seeds = seeds.withColumn("_order", F.md5(F.concat_ws("/", *key)))
+    seeds = written(seeds, f"{folder}/seeds")
+
+    def fresh_cases(of: DataFrame, missing: Sequence[str], path: str) -> DataFrame:
+        cases = written(perturbed(of, missing, seed), f"{path}/perturbed")
+        cases = cases.withColumn("name_normalised", normalise_name(F.col("query")))
+        own = meeting(forms, cases, "reference_number")
+        fresh = cases.join(own, [*key, "name_normalised"], "left_anti")
+        limits = [quotas[kind] for kind in missing]
+        quota = F.element_at(F.array(*(F.lit(n) for n in limits)), F.col("kind") + 1)
+        # The constant limit is what lets every task cut its own rows before the shuffle.
+        found = top_rows(fresh, ["kind"], order, max(limits)).filter(F.col("_rank") <= quota)
+        number = F.array_position(F.array(*(F.lit(kind) for kind in kinds)), F.col("perturbation"))
+        return written(found.withColumn("kind", number), f"{path}/found")
+
+    first = written(seeds.orderBy(*order).limit(first_seeds), f"{folder}/first_seeds")
+    found = fresh_cases(first, kinds, f"{folder}/first")
+    if first.count() == first_seeds:  # there may be more
+        counts = {r["perturbation"]: r["count"] for r in found.groupBy("perturbation").count().collect()}
+        missing = [kind for kind in kinds if counts.get(kind, 0) < quotas[kind]]
+        if missing:
+            rest = fresh_cases(seeds, missing, f"{folder}/all")
+            found = found.filter(~F.col("perturbation").isin(missing)).unionByName(rest)
     # At most the sum of the quotas is left, so one ordered window numbers them.
     numbered = F.row_number().over(Window.orderBy("kind", "_rank"))
     return found.select(

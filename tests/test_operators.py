@@ -1,3 +1,4 @@
+import hashlib
 import random
 import statistics
 
@@ -5,7 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from namesieve.functions.phonetics import token_code
-from namesieve.operators.evaluation import exact_percentiles, nicknamed, transliterated
+from namesieve.operators.evaluation import (
+    QUOTAS,
+    eligible_seeds,
+    entity_forms,
+    evaluation_cases,
+    exact_percentiles,
+    nicknamed,
+    transliterated,
+)
 from namesieve.operators.index import NameIndex
 from namesieve.operators.normalising import phonetic_keys
 from namesieve.operators.reports import entity_detail
@@ -94,3 +103,29 @@ def test_phonetic_keys_of_distinct_tokens(spark):
     got = {r.id: r.metaphone_key for r in phonetic_keys(rows, "form").collect()}
     want = {r.id: " ".join(sorted(token_code(t) for t in r.form.split())) for r in rows.collect()}
     assert got == want and got[1] == got[2] != got[3]
+
+
+def test_evaluation_cases_of_first_seeds(spark):
+    """Perturbations that the first seeds do not fill take the others, too; own names are no cases."""
+    names = [("L", str(i), f"anna{'ou' if i % 7 == 0 else ''} word{i} {'ivan' if i == 33 else 'last'}") for i in range(40)]
+    listed = spark.createDataFrame(names, "source_list string, reference_number string, primary_name string")
+    listed = listed.withColumns({
+        "entity_type": F.lit("individual"), "seed": F.col("reference_number").cast("long"),
+        "name_normalised": F.col("primary_name"),
+    })
+    swapped = listed.withColumn("name_normalised", F.concat_ws(" ", F.element_at(F.split("primary_name", " "), 1),
+                                                               F.element_at(F.split("primary_name", " "), -1)))
+    forms = entity_forms(listed.unionByName(swapped.filter("seed < 20")))
+    seeds = eligible_seeds(listed)
+    quotas = {kind: 5 for kind in QUOTAS}
+
+    def cases(first_seeds):
+        return sorted(evaluation_cases(seeds, forms, quotas=quotas, first_seeds=first_seeds).collect())
+
+    found = cases(3)
+    assert found == cases(1000) == cases(12)
+    order = sorted(range(40), key=lambda i: hashlib.md5(f"L/{i}".encode()).hexdigest())
+    dropped = [r.truth["reference_number"] for r in found if r.perturbation == "dropped_middle"]
+    assert dropped == [str(i) for i in order if i >= 20][:5]
+    assert [r.truth["reference_number"] for r in found if r.perturbation == "nickname"] == ["33"]
+    assert [r.case_id for r in found] == [f"P{i:03d}" for i in range(1, len(found) + 1)]
