@@ -20,6 +20,7 @@ from namesieve.operators.normalising import phonetic_keys
 from namesieve.operators.reports import entity_detail
 from namesieve.operators.shaping import side_rows, side_summary
 from namesieve.operators.sync import duplicate_keys, last_per_key, name_changes
+from namesieve.operators.vectors import lookup_scores
 from namesieve.params import ScreeningParams
 
 
@@ -129,3 +130,28 @@ def test_evaluation_cases_of_first_seeds(spark):
     assert dropped == [str(i) for i in order if i >= 20][:5]
     assert [r.truth["reference_number"] for r in found if r.perturbation == "nickname"] == ["33"]
     assert [r.case_id for r in found] == [f"P{i:03d}" for i in range(1, len(found) + 1)]
+
+
+def test_vectors_in_cells_equal_the_joins(spark):
+    """Lookups through the grid: repeated and missing vectors, odd lengths, nulls, other columns of a pair."""
+    rng = random.Random(5)
+
+    def vectors(prefix):
+        rows = [(f"{prefix}{i}", [rng.uniform(-1, 1) for _ in range(8 if i % 9 else 3)]) for i in range(60)]
+        odd = [(f"{prefix}1", [0.5] * 8), (None, [1.0] * 8), (f"{prefix}70", None), (f"{prefix}71", [0.1, None]),
+               (f"{prefix}72", [])]
+        return spark.createDataFrame(rows + odd, "form string, vector array<float>")
+
+    wanted = [(f"q{rng.randrange(75)}", f"n{rng.randrange(75)}", rng.choice([None, 7]), [i % 3]) for i in range(3000)]
+    wanted += [("q72", "n72", 1, []), ("q71", "n71", 2, None), (None, "n1", 3, []), ("q1", None, 4, []), ("q1", "n1", 5, [])]
+    pairs = spark.createDataFrame(wanted, "query_form string, name_form string, k int, tags array<int>")
+    pairs = pairs.unionByName(pairs.limit(50))
+    q, n = vectors("q"), vectors("n")
+
+    def rows(**limits):
+        scored = lookup_scores(pairs, q, n, **limits)
+        return sorted(map(repr, scored.select("query_form", "name_form", "k", "tags", "cosine", "embedding").collect()))
+
+    assert rows(few_bytes=0) == rows() == rows(few_bytes=0, block_bytes=500)
+    plan = lookup_scores(pairs, q, n, few_bytes=0)._jdf.queryExecution().toString()
+    assert "Join" not in plan
