@@ -7,11 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from namesieve.operators.index import build_index, form_members
-from namesieve.operators.screening import match_payload, screen, validate_requests
+from namesieve.operators.screening import match_payload, screen, screening_audit, validate_requests
 from namesieve.operators.shaping import shape_sheet
 from namesieve.params import ScreeningParams
 from namesieve.sources.sheet_rows import SHEET_COLUMNS, sheet_rows
-from namesieve.workspace import work_folder
+from namesieve.workspace import work_folder, written
 
 KINDS = ["individual", "entity", None]
 
@@ -113,3 +113,16 @@ def test_sheet_is_grouped_once(spark):
     assert sorted(map(tuple, found.collect())) == [("1", "Ann", "2"), ("2", "Bob", "1")]
     keyless = sheet_rows(raw).select(F.lit(None).cast("string").alias("reference"), *[c for c in SHEET_COLUMNS if c != "reference"], "position")
     assert shape_sheet(keyless).entities.count() == 0
+
+
+def test_results_of_an_audit_are_not_sent_through_the_driver(spark, tmp_path):
+    names, entities = listed(spark)
+    asked = [(i, f"widget red {i}", None, None, None) for i in range(10)]
+    schema = "query_id long, name string, threshold double, max_results int, entity_type string"
+    valid, _ = validate_requests(spark.createDataFrame(asked, schema))
+    matches = screen(valid, build_index(names, entities, work_folder(spark)))
+    payload = written(match_payload(matches, names, entities), f"{tmp_path}/payload")
+    audit = screening_audit(written(valid, f"{tmp_path}/valid"), payload)
+    assert "BroadcastExchange" not in executed(audit)
+    counts = {r.query_id: r.match_count for r in audit.collect()}
+    assert len(counts) == 10 and sum(counts.values()) == payload.count() > 0
